@@ -138,14 +138,16 @@ def event_view(events: DataFrame) -> DataFrame:
 def alert_view(alerts: DataFrame) -> DataFrame:
     """Alert columns shown to readers; broken JSON reads as an empty object."""
     return alerts.select(
-        "alert_id", "rule_id", "rule_name", "severity", "status", "title",
-        "agent_id", "session_id", "triggered_at",
-        json_or_empty(F.col("context")).alias("context"),
+        "alert_id", "rule_id", "rule_name", "severity", "status", "title", "detail",
+        json_or_empty(F.col("context")).alias("context"), "agent_id", "session_id",
+        "triggered_at", "acknowledged_at", "resolved_at", "assigned_to", "resolution_note",
+        json_or_empty(F.col("labels")).alias("labels"),
+        "suppressed", "suppressed_by", "suppression_expires_at",
     )
 
 
 def session_view(sessions: DataFrame) -> DataFrame:
     return sessions.select(
         "session_id", "agent_id", "agent_name", "started_at", "last_event_at", "event_count",
-        "has_alerts", "alert_count", "max_severity",
+        "has_alerts", "alert_count", "max_severity", json_or_empty(F.col("metadata")).alias("metadata"),
     )

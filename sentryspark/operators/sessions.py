@@ -26,7 +26,8 @@ def sessions(events: DataFrame, arrival: list[str] | None = None) -> DataFrame:
             F.min_by(first, order).alias("first"),
             F.max("timestamp").alias("last_event_at"),
             F.count(F.lit(1)).alias("event_count"),
-        ).select("session_id", "first.*", "last_event_at", "event_count")
+        ).select("session_id", "first.*", "last_event_at", "event_count",
+                 F.lit("{}").alias("metadata"))
     )
 
 
@@ -68,7 +69,7 @@ def session_timeline(
     )
     linked = (
         alert_events.join(shown.select("event_id"), "event_id", "left_semi")
-        .join(alerts.select("alert_id", "severity"), "alert_id")
+        .join(alerts.select("alert_id", "severity"), "alert_id", "left")
         .groupBy("event_id")
         .agg(distinct_sorted(F.col("alert_id")).alias("alert_ids"),
              distinct_sorted(F.col("severity")).alias("alert_severities"))

@@ -40,10 +40,17 @@ SELECT concat('alert-', CAST(seq AS STRING)) AS alert_id,
    AS severity,
  CASE WHEN seq % 5 = 0 THEN 'acknowledged' WHEN seq % 7 = 0 THEN 'resolved' ELSE 'open' END
    AS status,
- agent_id, agent_name, session_id, event_id, timestamp AS triggered_at,
  concat(CASE WHEN event_type = 'external_api_call' THEN 'Outside call: ' ELSE 'Risky tool: ' END,
    agent_name) AS title,
- properties AS context
+ CASE WHEN seq % 3 = 0 THEN 'Rule conditions matched' END AS detail,
+ CASE seq % 6 WHEN 0 THEN '' WHEN 1 THEN 'not json' ELSE properties END AS context,
+ agent_id, agent_name, session_id, event_id, timestamp AS triggered_at,
+ CASE WHEN seq % 5 = 0 THEN timestamp + INTERVAL 1 HOUR END AS acknowledged_at,
+ CASE WHEN seq % 5 <> 0 AND seq % 7 = 0 THEN timestamp + INTERVAL 2 HOUR END AS resolved_at,
+ CAST(NULL AS STRING) AS assigned_to, CAST(NULL AS STRING) AS resolution_note,
+ CASE WHEN seq % 2 = 0 THEN concat(chr(123), '"category":"', event_type, '"', chr(125)) END AS labels,
+ FALSE AS suppressed, CAST(NULL AS STRING) AS suppressed_by,
+ CAST(NULL AS TIMESTAMP) AS suppression_expires_at
 FROM {agent_events}
 WHERE tool_name IN ('shell_run', 'code_execute')
    OR (event_type = 'external_api_call' AND latency_ms > 600)
@@ -53,8 +60,7 @@ WHERE tool_name IN ('shell_run', 'code_execute')
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter rows before the event type is normalised."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # The view's names are quoted as columns only; the data frame goes in as a parameter.
-    raw = spark.sql(RAW_EVENTS_SQL.format(events="{events}"), events=table)
+    raw = spark.sql(RAW_EVENTS_SQL, events=table)
     return raw.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
@@ -67,7 +73,15 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_alerts(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Alert rows derived from the events, for reports that read a stored alert table."""
-    return spark.sql(ALERTS_SQL.format(agent_events="{agent_events}"), agent_events=events)
+    return spark.sql(ALERTS_SQL, agent_events=events)
+
+
+def sample_alert_events(alerts: DataFrame) -> DataFrame:
+    """The junction rows of ``sample_alerts``."""
+    return alerts.select(
+        "alert_id", "event_id", F.col("triggered_at").alias("event_timestamp"),
+        F.lit(None).cast("int").alias("sequence_order"),
+    )
 
 
 def as_written(df: DataFrame) -> DataFrame:

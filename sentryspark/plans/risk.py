@@ -69,10 +69,12 @@ def agent_risk_summary(
         asked = events.sparkSession.range(1).select(F.lit(agent_id).alias("agent_id"))
         joined = asked.join(joined, "agent_id", "left")
     return joined.select(
-        "agent_id", F.coalesce("agent_name", "agent_id").alias("agent_name"),
+        "agent_id", "agent_name",
         or_zero("total_events"), or_zero("total_sessions"), or_zero("open_alerts"),
         or_zero("critical_alerts"), or_zero("unique_tools"), or_zero("total_tokens"),
-        "avg_latency_ms", or_zero("events_per_minute", 0.0), "top_event_types", "top_tools",
+        or_zero("avg_latency_ms", 0.0), or_zero("events_per_minute", 0.0),
+        F.coalesce("top_event_types", F.lit("{}")).alias("top_event_types"),
+        F.coalesce("top_tools", F.lit("{}")).alias("top_tools"),
     )
 
 
