@@ -57,7 +57,7 @@ RAW = f"raw AS ({RAW_EVENTS_SQL.format(events='events')})"
 AE = f"""{RAW}, ae AS (SELECT *, CASE raw_event_type WHEN 'Tool.Invoke' THEN 'tool_invocation'
  WHEN 'gen_ai.chat' THEN 'llm_call' WHEN 'on_chain_start' THEN 'agent_decision'
  WHEN 'rag.query' THEN 'rag_retrieval' ELSE raw_event_type END AS event_type,
- epoch_ms(timestamp) AS ms FROM raw)"""
+ epoch_us(timestamp) // 1000 AS ms FROM raw)"""
 ALERTS = f"{AE}, alerts AS ({ALERTS_SQL.format(agent_events='ae')})"
 
 HOURLY = f"""{AE}, hourly AS (

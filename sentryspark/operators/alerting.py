@@ -299,11 +299,11 @@ def retry_plan(outbox: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def transition_alerts(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply (alert_id, target, at, note) commands; returns alerts and rejected commands.
+    """Apply (alert_id, target, decided_at, note) commands; returns alerts and rejected commands.
 
     The earliest command of an alert in the batch is tried; later ones are rejected.
     """
-    order = Window.partitionBy("alert_id").orderBy("at", "target")
+    order = Window.partitionBy("alert_id").orderBy("decided_at", "target")
     numbered = commands.withColumn("_turn", F.row_number().over(order))
     tried, late = numbered.where("_turn = 1").drop("_turn"), numbered.where("_turn > 1")
     legal = reduce(lambda a, b: a | b, [
@@ -317,8 +317,8 @@ def transition_alerts(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame
         return F.when(moves & (F.col("target") == target), value).otherwise(F.col(column))
 
     changed = {
-        "acknowledged_at": moved("acknowledged", F.col("at"), "acknowledged_at"),
-        "resolved_at": moved("resolved", F.col("at"), "resolved_at"),
+        "acknowledged_at": moved("acknowledged", F.col("decided_at"), "acknowledged_at"),
+        "resolved_at": moved("resolved", F.col("decided_at"), "resolved_at"),
         "resolution_note": moved("resolved", F.col("note"), "resolution_note"),
         "status": F.when(moves, F.col("target")).otherwise(F.col("status")),
     }
