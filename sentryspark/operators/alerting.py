@@ -24,6 +24,8 @@ DAY_MS = 24 * HOUR_MS
 RECENT_TOOLS = 10
 LIVE_FEED_SIZE = 50
 
+SUPPRESSION_KEYS = ["rule_id", "agent_id", "created_at", "expires_at"]
+
 # Channels with the lowest severity each one takes.
 CHANNELS = {"live": "low", "webhook": "medium", "slack": "high", "pagerduty": "critical"}
 
@@ -81,28 +83,23 @@ def throttle(
     return throttle_counts(survivors, window_ms).where(F.col("throttle_count") <= limit)
 
 
-SUPPRESSED_SQL = """
-SELECT m.*,
-  EXISTS (SELECT 1 FROM {suppressions} s
-    WHERE s.rule_id = m.rule_id AND s.agent_id IS NULL
-      AND s.created_at <= m.timestamp AND m.timestamp < s.expires_at)
-  OR EXISTS (SELECT 1 FROM {suppressions} s
-    WHERE s.agent_id = m.agent_id AND s.rule_id IS NULL
-      AND s.created_at <= m.timestamp AND m.timestamp < s.expires_at)
-  OR EXISTS (SELECT 1 FROM {suppressions} s
-    WHERE s.rule_id = m.rule_id AND s.agent_id = m.agent_id
-      AND s.created_at <= m.timestamp AND m.timestamp < s.expires_at) AS is_suppressed
-FROM {matches} m
-"""
-
-
 def flag_suppressed(matches: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Add ``is_suppressed``: an unexpired suppression names the rule, the agent or both.
 
-    Each way to match is an equality join of its own, so no side has to be broadcast.
+    Each way to match is an existence join on equal keys, so no side has to be broadcast.
     """
-    spark = matches.sparkSession
-    return spark.sql(SUPPRESSED_SQL, matches=matches, suppressions=suppressions)
+    known = suppressions.select(*[F.col(c).alias(f"_s_{c}") for c in SUPPRESSION_KEYS])
+    when = F.col("timestamp").outer()
+    valid = known.where((F.col("_s_created_at") <= when) & (when < F.col("_s_expires_at")))
+    same_rule = F.col("_s_rule_id") == F.col("rule_id").outer()
+    same_agent = F.col("_s_agent_id") == F.col("agent_id").outer()
+    ways = [
+        same_rule & F.col("_s_agent_id").isNull(),
+        same_agent & F.col("_s_rule_id").isNull(),
+        same_rule & same_agent,
+    ]
+    hit = reduce(lambda a, b: a | b, [valid.where(way).exists() for way in ways])
+    return matches.select("*", hit.alias("is_suppressed"))
 
 
 def suppress(matches: DataFrame, suppressions: DataFrame) -> DataFrame:

@@ -57,17 +57,10 @@ def eval_single(
     )
 
 
-def eval_temporal(
-    events: DataFrame,
-    rules: list[Rule],
-    members: DataFrame | None = None,
-    block_ms: int = HOUR_MS,
+def temporal_rows(
+    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
-    """Triggered sliding-window rules; all windows are counted in one pass.
-
-    A rule counts its matching events per partition value and fires on each one for which
-    the count (or the rate per minute) has reached the threshold.
-    """
+    """Events that match a sliding-window rule, once per rule, with key and settings."""
     rules = of_kind(rules, "Temporal")
     prepared, member = prepare_events(events, rules, members)
     hits = [
@@ -78,31 +71,50 @@ def eval_temporal(
         for i, rule in enumerate(rules)
     ]
     facts = rule_facts(rules, lambda rule: {
-        "window_ms": rule.window_ms, "threshold": rule.threshold, "is_rate": rule.is_rate,
-        "minutes": rule.window_minutes, "rule_id": rule.id, "severity": rule.severity,
+        "rule_id": rule.id, "severity": rule.severity, "window_ms": rule.window_ms,
+        "threshold": rule.threshold, "is_rate": rule.is_rate, "minutes": rule.window_minutes,
         "span": span_text(rule.window_ms),
     })
-    found = explode_hits(prepared, hits, "rule INT, key STRING").withColumn(
-        "window_ms", facts[F.col("rule")]["window_ms"].cast("long")
+    found = explode_hits(prepared, hits, "rule INT, key STRING")
+    fact = facts[F.col("rule")]
+    return found.select(
+        fact["rule_id"].alias("rule_id"), "key", fact["severity"].alias("severity"),
+        *MATCH_EVENT_COLUMNS, "ms", fact["window_ms"].cast("long").alias("window_ms"),
+        fact["threshold"].alias("threshold"), fact["is_rate"].alias("is_rate"),
+        fact["minutes"].alias("minutes"), fact["span"].alias("span"),
     )
+
+
+def eval_temporal(
+    events: DataFrame,
+    rules: list[Rule],
+    members: DataFrame | None = None,
+    block_ms: int = HOUR_MS,
+) -> DataFrame:
+    """Triggered sliding-window rules; all windows are counted in one pass.
+
+    A rule counts its matching events per partition value and fires on each one for which
+    the count (or the rate per minute) has reached the threshold.
+    """
     counted = sliding_count(
-        found, ["rule", "key"], "ms", "window_ms", ["event_id"], "window_count", block_ms
-    ).withColumn("_fact", facts[F.col("rule")])
+        temporal_rows(events, rules, members), ["rule_id", "key"], "ms", "window_ms",
+        ["event_id"], "window_count", block_ms,
+    )
     measure = F.when(
-        F.col("_fact.is_rate"), F.col("window_count") / F.col("_fact.minutes")
+        F.col("is_rate"), F.col("window_count") / F.col("minutes")
     ).otherwise(F.col("window_count").cast("double"))
-    return counted.where(measure >= F.col("_fact.threshold")).select(
-        "_fact.rule_id", "_fact.severity", *MATCH_EVENT_COLUMNS, "ms",
+    return counted.where(measure >= F.col("threshold")).select(
+        "rule_id", "severity", *MATCH_EVENT_COLUMNS, "ms",
         F.concat(F.col("window_count").cast("string"), F.lit(" events in "),
-                 F.col("_fact.span")).alias("detail"),
+                 F.col("span")).alias("detail"),
         json_text(F.col("window_count")).alias("context"),
     )
 
 
-def eval_sequence(
+def sequence_rows(
     events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
-    """Triggered sequence rules: ordered steps per session, each within the span of the last.
+    """Events that match any step of a sequence rule, once per rule, with step bits.
 
     Only the condition of the current step is tested; other events leave it as it is, so
     rows that match no step of a rule are dropped before anything is ordered.
@@ -112,32 +124,34 @@ def eval_sequence(
     hits = []
     for i, rule in enumerate(rules):
         bits = reduce(Column.__add__, (
-            build_predicate(tree, member).cast("long") * F.lit(1 << step)
+            build_predicate(tree, member).cast("long") * F.lit(1 << step).cast("long")
             for step, (_, tree) in enumerate(rule.steps)
         ))
         hits.append(F.when(bits > 0, F.struct(F.lit(i).alias("rule"), bits.alias("bits"))))
     facts = rule_facts(rules, lambda rule: {
-        "rule_id": rule.id, "n_steps": len(rule.steps), "span_ms": rule.span_ms,
-        "severity": rule.severity, "detail": rule.detail(), "final": final_label(rule),
+        "rule_id": rule.id, "severity": rule.severity, "n_steps": len(rule.steps),
+        "span_ms": rule.span_ms, "detail": rule.detail(), "final_step": final_label(rule),
     })
-    found = explode_hits(prepared, hits, "rule INT, bits BIGINT").withColumn(
-        "_fact", facts[F.col("rule")]
-    )
-    rows = found.select(
-        "_fact.rule_id", *MATCH_EVENT_COLUMNS, "ms", "bits", "rule",
-        F.col("_fact.n_steps").cast("long").alias("n_steps"),
-        F.col("_fact.span_ms").cast("long").alias("span_ms"),
-    )
-    fired = run_machines(rows, ["rule_id", "session_id"], ["event_id"], "last")
     fact = facts[F.col("rule")]
-    return fired.select(
-        "rule_id", fact["severity"].alias("severity"), *MATCH_EVENT_COLUMNS, "ms",
-        fact["detail"].alias("detail"),
-        json_text(fact["n_steps"].alias("sequence_steps"), fact["final"].alias("final_step"))
-        .alias("context"),
+    return explode_hits(prepared, hits, "rule INT, bits BIGINT").select(
+        fact["rule_id"].alias("rule_id"), fact["severity"].alias("severity"),
+        *MATCH_EVENT_COLUMNS, "ms", "bits",
+        fact["n_steps"].cast("long").alias("n_steps"),
+        fact["span_ms"].cast("long").alias("span_ms"), fact["detail"].alias("detail"),
+        json_text(fact["n_steps"].alias("sequence_steps"),
+                  fact["final_step"].alias("final_step")).alias("context"),
     )
 
 
+def eval_sequence(
+    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
+) -> DataFrame:
+    """Triggered sequence rules: ordered steps per session, each within the span of the last."""
+    rows = sequence_rows(events, rules, members)
+    fired = run_machines(rows, ["rule_id", "session_id"], ["event_id"], "last")
+    return fired.select(*MATCH_COLUMNS)
+
+
 def final_label(rule: Rule) -> str:
     return rule.steps[-1][0]
 

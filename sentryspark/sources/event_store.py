@@ -70,8 +70,11 @@ def read_events(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """Events of a closed time range; days outside the range are never opened."""
-    events = spark.read.option("mergeSchema", "false").parquet(path)
+    """Events of a closed time range; days outside the range are never opened.
+
+    ``batch_id`` is NULL for events that were appended in bulk.
+    """
+    events = spark.read.schema(f"{EVENTS}, batch_id BIGINT, {DAY} DATE").parquet(path)
     if start is not None:
         events = events.where((F.col(DAY) >= F.lit(start.date())) & (F.col("timestamp") >= F.lit(start)))
     if end is not None:
@@ -87,7 +90,7 @@ def kept_rows(table: DataFrame, column: str, name: str, as_of: datetime) -> Data
 def expired_days(spark: SparkSession, path: str, name: str, as_of: datetime) -> list[date]:
     """Days of a day-partitioned table that lie wholly before its retention."""
     oldest = (as_of - timedelta(days=RETENTION_DAYS[name])).date()
-    days = spark.read.parquet(path).select(DAY).distinct().where(F.col(DAY) < F.lit(oldest))
+    days = read_events(spark, path).select(DAY).distinct().where(F.col(DAY) < F.lit(oldest))
     return sorted(row[0] for row in days.toLocalIterator())
 
 
@@ -127,7 +130,7 @@ def compact_events(
     not the work of one task; inside a file rows keep the segment order.
     """
     limit = (as_of - timedelta(days=COMPACT_AFTER_DAYS)).date()
-    old = spark.read.parquet(path).where(F.col(DAY) < F.lit(limit))
+    old = read_events(spark, path).where(F.col(DAY) < F.lit(limit))
     spread = F.pmod(F.xxhash64("session_id"), F.lit(salt))
     laid = old.drop("batch_id").repartition(F.col(DAY), spread).sortWithinPartitions(
         DAY, "agent_id", "event_type", F.desc("timestamp")
