@@ -24,8 +24,6 @@ DAY_MS = 24 * HOUR_MS
 RECENT_TOOLS = 10
 LIVE_FEED_SIZE = 50
 
-SUPPRESSION_KEYS = ["rule_id", "agent_id", "created_at", "expires_at"]
-
 # Channels with the lowest severity each one takes.
 CHANNELS = {"live": "low", "webhook": "medium", "slack": "high", "pagerduty": "critical"}
 
@@ -83,27 +81,45 @@ def throttle(
     return throttle_counts(survivors, window_ms).where(F.col("throttle_count") <= limit)
 
 
-def flag_suppressed(matches: DataFrame, suppressions: DataFrame) -> DataFrame:
-    """Add ``is_suppressed``: an unexpired suppression names the rule, the agent or both.
-
-    Each way to match is an existence join on equal keys, so no side has to be broadcast.
-    """
-    known = suppressions.select(*[F.col(c).alias(f"_s_{c}") for c in SUPPRESSION_KEYS])
-    when = F.col("timestamp").outer()
-    valid = known.where((F.col("_s_created_at") <= when) & (when < F.col("_s_expires_at")))
-    same_rule = F.col("_s_rule_id") == F.col("rule_id").outer()
-    same_agent = F.col("_s_agent_id") == F.col("agent_id").outer()
-    ways = [
-        same_rule & F.col("_s_agent_id").isNull(),
-        same_agent & F.col("_s_rule_id").isNull(),
-        same_rule & same_agent,
+def suppression_ways(suppressions: DataFrame) -> list[tuple[DataFrame, list[str]]]:
+    """Suppressions by what they name: the rule alone, the agent alone, or both."""
+    no_rule, no_agent = F.col("rule_id").isNull(), F.col("agent_id").isNull()
+    return [
+        (suppressions.where(~no_rule & no_agent), ["rule_id"]),
+        (suppressions.where(no_rule & ~no_agent), ["agent_id"]),
+        (suppressions.where(~no_rule & ~no_agent), ["rule_id", "agent_id"]),
     ]
-    hit = reduce(lambda a, b: a | b, [valid.where(way).exists() for way in ways])
-    return matches.select("*", hit.alias("is_suppressed"))
+
+
+def join_suppressions(
+    matches: DataFrame, suppressions: DataFrame, keys: list[str], how: str
+) -> DataFrame:
+    """Semi or anti join on equal ``keys`` with suppressions in force at the match's time."""
+    left, right = matches.alias("m"), suppressions.alias("s")
+    in_force = (F.col("s.created_at") <= F.col("m.timestamp")) & (
+        F.col("m.timestamp") < F.col("s.expires_at")
+    )
+    same = [F.col(f"m.{key}") == F.col(f"s.{key}") for key in keys]
+    return left.join(right, reduce(lambda a, b: a & b, same, in_force), how)
 
 
 def suppress(matches: DataFrame, suppressions: DataFrame) -> DataFrame:
-    return flag_suppressed(matches, suppressions).where("NOT is_suppressed").drop("is_suppressed")
+    """Matches that no suppression in force names by rule, agent or both."""
+    for some, keys in suppression_ways(suppressions):
+        matches = join_suppressions(matches, some, keys, "left_anti")
+    return matches
+
+
+def flag_suppressed(matches: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """Add ``is_suppressed``; every way to be named is an equality join of its own."""
+    named = [
+        join_suppressions(matches, some, keys, "left_semi").select("rule_id", "event_id")
+        for some, keys in suppression_ways(suppressions)
+    ]
+    hits = reduce(DataFrame.unionByName, named).distinct().withColumn("_hit", F.lit(True))
+    return matches.join(hits, ["rule_id", "event_id"], "left").select(
+        *matches.columns, F.col("_hit").isNotNull().alias("is_suppressed")
+    )
 
 
 def label_stages(
@@ -111,7 +127,7 @@ def label_stages(
 ) -> DataFrame:
     """Dedup survivors with the ``stage`` they end in: throttled, suppressed or created."""
     survivors = cut_lineage(dedup(matches, limits.dedup_ms))
-    counted = throttle_counts(survivors, limits.throttle_ms)
+    counted = cut_lineage(throttle_counts(survivors, limits.throttle_ms))
     stage = (
         F.when(F.col("throttle_count") > limits.throttle_limit, F.lit("throttled"))
         .when(F.col("is_suppressed"), F.lit("suppressed")).otherwise(F.lit("created"))

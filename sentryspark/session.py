@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared one; a temporary one in a local session."""
+    shared = shared_folder(spark)
+    if shared is not None:
+        return f"{shared}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
+    return tempfile.mkdtemp(prefix=f"{name}-")
