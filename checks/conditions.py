@@ -18,7 +18,7 @@ from sentryspark.functions.fields import (
     parse_number, resolve_field, severity_order, severity_text, time_bucket, with_property_map,
 )
 from sentryspark.functions.json_containment import json_contains, json_or_empty
-from sentryspark.functions.predicates import build_predicate, parse_condition
+from sentryspark.functions.predicates import parse_condition, predicate
 from sentryspark.operators.rules import prepare_events
 from sentryspark.operators.search import (
     ALERT_PAGE_MAX, EVENT_PAGE_MAX, alert_view, event_view, last_hours, list_alerts,
@@ -90,7 +90,7 @@ def register_condition(name: str, tree: dict, where: str) -> None:
     @query(name, f"WITH {KEYED} SELECT event_id, event_type FROM keyed WHERE {where}")
     def run(spark, sf_dir):
         events = with_property_map(events_of(spark, sf_dir))
-        return events.where(build_predicate(condition)).select("event_id", "event_type")
+        return events.where(predicate(condition)).select("event_id", "event_type")
 
 
 for _name, (_tree, _where) in CONDITIONS.items():
@@ -119,7 +119,7 @@ def listed(list_id: str, name: str, negated: bool):
         tree = {"type": "list", "field": name, "listId": list_id, "negated": negated}
         rules = [Rule("r", "r", "low", "SingleEvent", tree)]
         prepared, member = prepare_events(events, rules, members)
-        return prepared.where(build_predicate(tree, member)).select("event_id")
+        return prepared.where(predicate(tree, member)).select("event_id")
 
     return run
 
@@ -158,10 +158,10 @@ def normalize_event_type_query(spark, sf_dir):
 def resolve_field_query(spark, sf_dir):
     by_key, tool, missing = (resolve_field(p) for p in ("properties.k", "toolName", "traceId"))
     return with_property_map(events_of(spark, sf_dir)).select(
-        "event_id", by_key.text.alias("k_text"), by_key.number().alias("k_number"),
-        tool.text.alias("tool_text"), missing.text.alias("missing_text"),
-        missing.present.alias("missing_present"),
-        resolve_field("inputTokens").text.alias("input_text"),
+        "event_id", F.expr(by_key.text).alias("k_text"), F.expr(by_key.number).alias("k_number"),
+        F.expr(tool.text).alias("tool_text"), F.expr(missing.text).alias("missing_text"),
+        F.expr(missing.present).alias("missing_present"),
+        F.expr(resolve_field("inputTokens").text).alias("input_text"),
     )
 
 
@@ -179,7 +179,7 @@ def parse_number_query(spark, sf_dir):
         .otherwise(F.col("tool_name"))
     )
     rows = events_of(spark, sf_dir).select("event_id", text.alias("txt"))
-    return rows.withColumn("number", parse_number(F.col("txt")))
+    return rows.withColumn("number", parse_number("txt"))
 
 
 @query("severity_maps", f"""WITH {ALERTS}, s AS (SELECT alert_id,

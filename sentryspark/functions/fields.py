@@ -6,7 +6,7 @@ Text follows the invariant forms that rule authors write against: booleans read
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +37,32 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SPECIAL_NUMBER_PATTERN = r"(?i)^([+-]?nan|[+-]?infinity)$"
 
 
-@dataclass(frozen=True)
 class FieldValue:
-    """A resolved field. ``number`` is None when it must be parsed from ``text``."""
+    """A resolved field as SQL text; each form is written only when a condition asks for it."""
 
-    text: Column
-    present: Column
-    native_number: Column | None = None
+    def __init__(
+        self, text: Callable[[], str], present: Callable[[], str], number: str | None = None
+    ):
+        self._text, self._present, self._number = text, present, number
 
-    def number(self) -> Column:
-        return self.native_number if self.native_number is not None else parse_number(self.text)
+    @property
+    def text(self) -> str:
+        return self._text()
+
+    @property
+    def present(self) -> str:
+        return self._present()
+
+    @property
+    def number(self) -> str:
+        """The field as a double: its own value, or its text parsed."""
+        return self._number if self._number is not None else number_of_text(self.text)
+
+
+def sql_string(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def property_key(path: str) -> str | None:
@@ -71,67 +87,62 @@ def resolve_field(path: str) -> FieldValue:
     """
     key = property_key(path)
     if key is not None:
-        present = F.coalesce(F.map_contains_key(F.col(PROPERTY_MAP), key), F.lit(False))
-        return FieldValue(F.when(present, property_text(key)), present)
-    column = F.col(KNOWN_FIELDS[path])
+        name = sql_string(key)
+        present = f"coalesce(map_contains_key({PROPERTY_MAP}, {name}), false)"
+        return FieldValue(
+            lambda: f"CASE WHEN {present} THEN {property_text(name)} END", lambda: present
+        )
+    column = KNOWN_FIELDS[path]
+    present = f"({column} IS NOT NULL)"
     if path == "latencyMs":
-        return FieldValue(double_text(column), column.isNotNull(), column)
+        return FieldValue(lambda: double_text(column), lambda: present, column)
     if path in INTEGER_FIELDS:
-        return FieldValue(column.cast("string"), column.isNotNull(), column.cast("double"))
-    return FieldValue(column, column.isNotNull())
+        return FieldValue(
+            lambda: f"CAST({column} AS STRING)", lambda: present, f"CAST({column} AS DOUBLE)"
+        )
+    return FieldValue(lambda: column, lambda: present)
 
 
-def property_text(key: str) -> Column:
-    """Text of one JSON property.
+def property_text(key: str) -> str:
+    """Text of one JSON property; ``key`` is a SQL literal.
 
     The string map keeps raw number text (``1.0``); only a value that reads true/false
     needs the typed parse, to tell a JSON boolean from a string.
     """
-    text = F.col(PROPERTY_MAP)[key]
-    typed = F.from_json("properties", "map<string,variant>")[key]
-    is_boolean = F.schema_of_variant(typed) == "BOOLEAN"
-    spelled = F.when(text.isin("true", "false") & is_boolean, F.initcap(text)).otherwise(text)
-    return F.coalesce(spelled, F.lit(""))
+    text = f"{PROPERTY_MAP}[{key}]"
+    typed = f"from_json(properties, 'map<string,variant>')[{key}]"
+    return f"""coalesce(CASE WHEN {text} IN ('true', 'false')
+        AND schema_of_variant({typed}) = 'BOOLEAN' THEN initcap({text}) ELSE {text} END, '')"""
 
 
-def double_text(column: Column) -> Column:
+def double_text(column: str) -> str:
     """Shortest invariant text of a double: ``500`` not ``500.0``, ``1E+16`` from 1e15 up."""
-    plain = column.cast("string")
-    size = F.abs(column)
-    digits = F.regexp_replace(
-        plain.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", ""
-    )
-    mantissa = F.regexp_replace(F.split_part(plain, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(plain, F.lit("E"), F.lit(2)).try_cast("int")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("E-")).otherwise(F.lit("E+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    return (
-        F.when(~plain.contains("E"), F.regexp_replace(plain, r"\.0$", ""))
-        .when((size >= 1e-5) & (size < 1e15), digits)
-        .otherwise(scientific)
-    )
+    plain = f"CAST({column} AS STRING)"
+    digits = f"regexp_replace(CAST(try_cast({plain} AS DECIMAL(38,22)) AS STRING), '[.]?0+$', '')"
+    mantissa = f"regexp_replace(split_part({plain}, 'E', 1), '[.]0$', '')"
+    exponent = f"try_cast(split_part({plain}, 'E', 2) AS INT)"
+    return f"""CASE WHEN NOT contains({plain}, 'E') THEN regexp_replace({plain}, '[.]0$', '')
+        WHEN abs({column}) >= 1e-5 AND abs({column}) < 1e15 THEN {digits}
+        ELSE concat({mantissa}, CASE WHEN {exponent} < 0 THEN 'E-' ELSE 'E+' END,
+          lpad(CAST(abs({exponent}) AS STRING), 2, '0')) END"""
 
 
-def parse_number(text: Column) -> Column:
+def number_of_text(text: str) -> str:
     """Invariant parse of text to double, NULL when it is not a number.
 
     The pattern guards against forms the cast alone would take, such as ``1d``.
     """
-    trimmed = F.trim(text)
-    plain = F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
-    return F.when(trimmed.rlike(SPECIAL_NUMBER_PATTERN), special_number(trimmed)).otherwise(plain)
+    trimmed = f"trim({text})"
+    return f"""CASE WHEN {trimmed} RLIKE {sql_string(NUMBER_PATTERN)}
+        THEN try_cast({trimmed} AS DOUBLE)
+        WHEN {trimmed} RLIKE {sql_string(SPECIAL_NUMBER_PATTERN)}
+        THEN CASE WHEN lower({trimmed}) LIKE '%nan' THEN double('NaN')
+          WHEN {trimmed} LIKE '-%' THEN double('-Infinity') ELSE double('Infinity') END END"""
 
 
-def special_number(text: Column) -> Column:
-    lowered = F.lower(text)
-    return (
-        F.when(lowered.endswith("nan"), F.lit(float("nan")))
-        .when(lowered.startswith("-"), F.lit(float("-inf")))
-        .otherwise(F.lit(float("inf")))
-    )
+def parse_number(column: str) -> Column:
+    """``number_of_text`` of a column."""
+    return F.expr(number_of_text(column))
 
 
 def severity_order(column: Column) -> Column:

@@ -14,57 +14,65 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Threshold of the exit row that serves every expiry not covered by another row.
 ANY_EXPIRY = np.iinfo(np.int64).max
+MACHINE = ["n_steps", "span_ms", "block_ms"]
 
 
-def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no (key, block) group is cut in two."""
-    held: list[pd.DataFrame] = []
+    held: list[pa.Table] = []
     for batch in batches:
-        if batch.empty:
+        if batch.num_rows == 0:
             continue
-        starts = group_starts(batch, keys)
-        if held and not same_group(held[-1], batch, keys):
-            yield pd.concat(held, ignore_index=True)
+        table = pa.Table.from_batches([batch])
+        starts = group_starts(table, keys)
+        if held and not same_group(held[-1], table, keys):
+            yield pa.concat_tables(held)
             held = []
         last = int(starts[-1])
         if last > 0:
-            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            yield pa.concat_tables([*held, table.slice(0, last)])
             held = []
-        held.append(batch.iloc[last:])
+        held.append(table.slice(last))
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.concat_tables(held)
 
 
-def group_starts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    changed = np.zeros(len(batch), dtype=bool)
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Row numbers at which the value of any key changes."""
+    changed = np.zeros(table.num_rows, dtype=bool)
     changed[0] = True
     for key in keys:
-        column = batch[key].to_numpy()
-        changed[1:] |= column[1:] != column[:-1]
+        column = table.column(key).combine_chunks()
+        changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
     return np.flatnonzero(changed)
 
 
-def same_group(left: pd.DataFrame, right: pd.DataFrame, keys: list[str]) -> bool:
-    return all(left[key].iloc[-1] == right[key].iloc[0] for key in keys)
+def same_group(left: pa.Table, right: pa.Table, keys: list[str]) -> bool:
+    return all(left.column(key)[-1] == right.column(key)[0] for key in keys)
+
+
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64, copy=False)
 
 
 class BlockNodes:
     """Successor graph of one batch of whole (key, block) groups."""
 
-    def __init__(self, batch: pd.DataFrame, keys: list[str]):
+    def __init__(self, batch: pa.Table, keys: list[str]):
         self.starts = group_starts(batch, keys)
-        rows = len(batch)
+        rows = batch.num_rows
         self.ends = np.append(self.starts[1:], rows)
         self.group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
-        self.time = batch["ms"].to_numpy(dtype=np.int64)
-        self.span = batch["span_ms"].to_numpy(dtype=np.int64)
-        self.steps = batch["n_steps"].to_numpy(dtype=np.int64)
+        self.time = numbers(batch, "ms")
+        self.span = numbers(batch, "span_ms")
+        self.steps = numbers(batch, "n_steps")
         self.width = int(self.steps.max())
-        bits = batch["bits"].to_numpy(dtype=np.int64)
+        bits = numbers(batch, "bits")
         # First row at or after each row that matches step k, or ``rows`` when none is left
         # in the group. The extra last line answers lookups past the end.
         self.next_match = np.full((rows + 1, self.width), rows, dtype=np.int64)
@@ -153,17 +161,19 @@ class BlockNodes:
         return np.where(live, row * self.width + step, node)
 
 
-def exit_table(batch: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+def exit_table(batch: pa.Table, keys: list[str]) -> pa.Table:
     """What each block does to every state it can be entered in.
 
     Rows read: entered at ``step_in`` with an expiry of at most ``upto`` (the smallest such
     row applies), the block is left at ``step_out`` with ``expiry_out``. An expiry that ends
-    inside the block leaves it at step 0, as the next block would see it.
+    inside the block leaves it at step 0, as the next block would see it. Blocks that are
+    always left at step 0 have no rows.
     """
     nodes = BlockNodes(batch, keys)
     ends = nodes.chain_ends()
     step_out, expiry_out = nodes.exit_step.reshape(-1), nodes.exit_expiry.reshape(-1)
-    limit = batch["block_end"].to_numpy(dtype=np.int64)[nodes.starts]
+    block_ms = numbers(batch, "block_ms")[nodes.starts]
+    limit = (numbers(batch, "block")[nodes.starts] + 1) * block_ms
     groups = np.arange(len(nodes.starts))
     steps = nodes.steps[nodes.starts]
     pieces = []
@@ -173,16 +183,15 @@ def exit_table(batch: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         out = np.where(node >= 0, step_out[last], 0)
         expiry = np.where(node >= 0, expiry_out[last], 0)
         live = (out > 0) & (expiry > limit[group])
-        pieces.append(pd.DataFrame({
-            "group": group, "step_in": step, "upto": upto,
-            "step_out": np.where(live, out, 0), "expiry_out": np.where(live, expiry, 0),
-        }))
+        pieces.append(np.stack([
+            group, np.full(len(group), step), upto,
+            np.where(live, out, 0), np.where(live, expiry, 0),
+        ]))
 
     zero = np.zeros(len(groups), dtype=np.int64)
     add(groups, 0, np.full(len(groups), ANY_EXPIRY), nodes.entry_nodes(zero, zero))
     # A state entered with a later step has an expiry within one span of the block start.
-    horizon = limit - batch["block_ms"].to_numpy(dtype=np.int64)[nodes.starts]
-    horizon = horizon + nodes.span[nodes.starts]
+    horizon = limit - block_ms + nodes.span[nodes.starts]
     edge = nodes.first_at(groups, horizon)
     edge = np.where(edge < nodes.rows, edge, nodes.ends - 1)
     index = np.arange(nodes.rows)
@@ -197,70 +206,82 @@ def exit_table(batch: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         add(nodes.group[row], step, nodes.time[row], node)
         node = np.where(match < nodes.rows, match * nodes.width + step, -1)
         add(groups[used], step, np.full(int(used.sum()), ANY_EXPIRY), node[used])
-    table = pd.concat(pieces, ignore_index=True).sort_values(
-        ["group", "step_in", "upto"], kind="stable", ignore_index=True
-    )
-    table = merge_equal_exits(table)
-    first_rows = nodes.starts[table["group"].to_numpy()]
-    for key in keys:
-        table[key] = batch[key].to_numpy()[first_rows]
-    return table[[*keys, "step_in", "upto", "step_out", "expiry_out"]]
-
-
-def merge_equal_exits(table: pd.DataFrame) -> pd.DataFrame:
-    """Keep the last of neighbouring rows that leave in the same state."""
-    columns = table[["group", "step_in", "step_out", "expiry_out"]].to_numpy()
-    keep = np.ones(len(table), dtype=bool)
-    keep[:-1] = (columns[1:] != columns[:-1]).any(axis=1)
-    return table[keep]
-
-
-def taken_steps(batch: pd.DataFrame, keys: list[str], report: str) -> pd.DataFrame:
+    group, step_in, upto, out, expiry = distinct_exits(np.concatenate(pieces, axis=1))
+    first_rows = pa.array(nodes.starts[group])
+    columns = {key: batch.column(key).take(first_rows) for key in keys}
+    return pa.table({
+        **columns, "step_in": step_in, "upto": upto, "step_out": out, "expiry_out": expiry,
+        "n_steps": steps[group], "span_ms": nodes.span[nodes.starts][group],
+        "block_ms": block_ms[group],
+    })
+
+
+def distinct_exits(rows: np.ndarray) -> np.ndarray:
+    """Exit rows in lookup order, without blocks that always end at step 0, keeping the last
+    of neighbouring rows that leave in the same state."""
+    group, _, _, out, _ = rows
+    alive = np.bincount(group, weights=out)[group] > 0
+    rows = rows[:, alive]
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    keep = np.ones(rows.shape[1], dtype=bool)
+    if keep.size:
+        same = rows[[0, 1, 3, 4]]
+        keep[:-1] = (same[:, 1:] != same[:, :-1]).any(axis=0)
+    return rows[:, keep]
+
+
+def taken_steps(batch: pa.Table, keys: list[str], report: str) -> pa.Table:
     """Rows of the batch at which the machine takes its first or its last step.
 
-    ``step_in`` and ``expiry_in`` hold the state in which each block is entered.
+    The first row of a group holds the state in which the block is entered.
     """
     nodes = BlockNodes(batch, keys)
-    step = batch["step_in"].to_numpy(dtype=np.int64)[nodes.starts]
-    expiry = batch["expiry_in"].to_numpy(dtype=np.int64)[nodes.starts]
+    step = numbers(batch, "step_in")[nodes.starts]
+    expiry = numbers(batch, "expiry_in")[nodes.starts]
     entries = nodes.entry_nodes(step, expiry)
     mark = nodes.reached(entries[entries >= 0]).reshape(-1, nodes.width)[:-1]
     if report == "first":
         taken = mark[:, 0]
     else:
         taken = mark[np.arange(nodes.rows), nodes.steps - 1]
-    return batch[taken]
+    return batch.filter(pa.array(taken))
 
 
 def entry_states(
-    batches: Iterable[pd.DataFrame], keys: list[str]
-) -> Iterator[pd.DataFrame]:
-    """Walk exit tables in (key, block) order; yield the entry state of later blocks.
+    batches: Iterable[pa.RecordBatch], keys: list[str]
+) -> Iterator[pa.Table]:
+    """Walk exit tables in (key, block) order; yield the states left past step 0.
 
-    Only a block that directly follows another can be entered past step 0. The walk keeps
-    one state, whatever the length of the key.
+    Each one is the entry state of the block that follows. The walk keeps one state,
+    whatever the length of the key; a block without table is left at step 0.
     """
     previous, step, expiry = None, 0, 0
     for table in whole_groups(batches, keys):
         starts = group_starts(table, keys)
-        ends = np.append(starts[1:], len(table))
-        names = list(zip(*(table[key].to_numpy()[starts] for key in keys)))
-        step_in, upto = table["step_in"].to_numpy(), table["upto"].to_numpy()
-        step_out, expiry_out = table["step_out"].to_numpy(), table["expiry_out"].to_numpy()
-        found = []
-        for name, low, high in zip(names, starts, ends):
+        ends = np.append(starts[1:], table.num_rows)
+        firsts = table.select(keys).take(pa.array(starts))
+        names = list(zip(*(firsts.column(key).to_pylist() for key in keys)))
+        step_in, upto = numbers(table, "step_in"), numbers(table, "upto")
+        step_out, expiry_out = numbers(table, "step_out"), numbers(table, "expiry_out")
+        found, steps, expiries = [], [], []
+        for position, (name, low, high) in enumerate(zip(names, starts, ends)):
             follows = previous is not None and (*name[:-1], name[-1] - 1) == previous
             if not follows:
                 step = 0
+            row = low
+            if step:
+                row += np.searchsorted(step_in[low:high], step)
+                last = low + np.searchsorted(step_in[low:high], step, side="right")
+                row += np.searchsorted(upto[row:last], expiry)
+            step, expiry, previous = int(step_out[row]), int(expiry_out[row]), name
             if step:
-                found.append((*name, step, expiry))
-                low += np.searchsorted(step_in[low:high], step)
-                row = low + np.searchsorted(
-                    upto[low:low + np.searchsorted(step_in[low:high], step, side="right")],
-                    expiry,
-                )
-            else:
-                row = low
-            step, expiry, previous = step_out[row], expiry_out[row], name
+                found.append(position)
+                steps.append(step)
+                expiries.append(expiry)
         if found:
-            yield pd.DataFrame(found, columns=[*keys, "step_in", "expiry_in"])
+            entered = firsts.take(pa.array(found))
+            columns = {key: entered.column(key) for key in keys}
+            columns[keys[-1]] = pc.add(columns[keys[-1]], 1)
+            left = pa.array(starts[found])
+            machine = {name: table.column(name).take(left) for name in MACHINE}
+            yield pa.table({**columns, "step_in": steps, "expiry_in": expiries, **machine})

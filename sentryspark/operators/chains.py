@@ -10,7 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ cloudpickle.register_pickle_by_value(chain_kernel)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCKS_PER_SPAN = 8
-MACHINE_COLUMNS = ["ms", "bits", "n_steps", "span_ms"]
+MACHINE = ["n_steps", "span_ms", "block_ms"]
+NUMBERS = ["step_in", "upto", "step_out", "expiry_out", *MACHINE]
+ENTRY_NUMBERS = ["step_in", "expiry_in", *MACHINE]
 
 
 def run_machines(
@@ -34,8 +36,8 @@ def run_machines(
 ) -> DataFrame:
     """Rows of ``rows`` at which their key's machine takes its ``first`` or ``last`` step.
 
-    ``rows`` needs ``keys`` (text, not NULL), ``ms``, ``bits`` (bit k set: the row matches
-    step k), ``n_steps`` and ``span_ms`` (both fixed per key). Order is ``ms`` then ``ties``.
+    ``rows`` needs ``keys`` (not NULL), ``ms``, ``bits`` (bit k set: the row matches step k),
+    ``n_steps`` and ``span_ms`` (both fixed per key). Order is ``ms`` then ``ties``.
     Blocks last ``BLOCKS_PER_SPAN`` spans, so an expiry never outlives the next block.
     """
     block_ms = F.greatest(F.col("span_ms"), F.lit(1)) * BLOCKS_PER_SPAN
@@ -43,70 +45,61 @@ def run_machines(
         "block", F.floor(F.col("ms") / F.col("block_ms"))
     )
     groups = [*keys, "block"]
-
-    tables = (
-        blocked.select(
-            *groups, *MACHINE_COLUMNS, "block_ms", *[t for t in ties if t not in groups],
-            ((F.col("block") + 1) * F.col("block_ms")).alias("block_end"),
-        )
-        .repartition(*groups)
-        .sortWithinPartitions(*groups, "ms", *ties)
-        .mapInPandas(exit_table_job(groups), exit_schema(blocked, groups))
+    needed = [*groups, "ms", *[t for t in ties if t not in groups], "bits", *MACHINE]
+    tables = in_groups(blocked.select(*needed), groups, ties).mapInArrow(
+        exit_table_job(groups), numbers_schema(blocked, groups, NUMBERS)
     )
     entries = (
-        tables.repartition(*keys)
-        .sortWithinPartitions(*groups, "step_in", "upto")
-        .mapInPandas(entry_state_job(groups), entry_schema(blocked, groups))
-    )
-    entered = (
-        blocked.join(entries, groups, "left")
-        .na.fill(0, ["step_in", "expiry_in"])
-        .select(*blocked.columns, "step_in", "expiry_in")
+        tables.repartition(*keys).sortWithinPartitions(*groups, "step_in", "upto")
+        .mapInArrow(entry_state_job(groups), numbers_schema(blocked, groups, ENTRY_NUMBERS))
     )
+    # Entry states travel as rows ahead of their block: they match no step.
+    ahead = entries.withColumns({
+        "ms": F.col("block") * F.col("block_ms") - 1, "bits": F.lit(0).cast("long"),
+    })
+    entered = blocked.withColumns({
+        "step_in": F.lit(0).cast("long"), "expiry_in": F.lit(0).cast("long"),
+    }).unionByName(ahead, allowMissingColumns=True)
     return (
-        entered.repartition(*groups)
-        .sortWithinPartitions(*groups, "ms", *ties)
-        .mapInPandas(taken_step_job(groups, report), entered.schema)
-        .select(*rows.columns)
+        in_groups(entered, groups, ties)
+        .mapInArrow(taken_step_job(groups, report), entered.schema).select(*rows.columns)
     )
 
 
-def key_fields(df: DataFrame, groups: list[str]) -> list[T.StructField]:
-    return [df.schema[name] for name in groups]
-
+def in_groups(df: DataFrame, groups: list[str], ties: list[str]) -> DataFrame:
+    """Rows of a group together and in time order.
 
-def exit_schema(df: DataFrame, groups: list[str]) -> T.StructType:
-    numbers = ["step_in", "upto", "step_out", "expiry_out"]
-    return T.StructType(
-        key_fields(df, groups) + [T.StructField(name, T.LongType()) for name in numbers]
+    Groups are ordered by a hash first: the sort then settles most comparisons on one number.
+    """
+    return df.repartition(*groups).sortWithinPartitions(
+        F.xxhash64(*groups), *groups, "ms", *ties
     )
 
 
-def entry_schema(df: DataFrame, groups: list[str]) -> T.StructType:
-    return T.StructType(
-        key_fields(df, groups)
-        + [T.StructField(name, T.LongType()) for name in ("step_in", "expiry_in")]
-    )
+def numbers_schema(df: DataFrame, groups: list[str], names: list[str]) -> T.StructType:
+    fields = [df.schema[name] for name in groups]
+    return T.StructType(fields + [T.StructField(name, T.LongType()) for name in names])
 
 
 def exit_table_job(groups: list[str]):
-    def job(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def job(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain_kernel.whole_groups(batches, groups):
-            yield chain_kernel.exit_table(batch, groups)
+            yield from chain_kernel.exit_table(batch, groups).to_batches()
 
     return job
 
 
 def entry_state_job(groups: list[str]):
-    def job(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from chain_kernel.entry_states(batches, groups)
+    def job(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chain_kernel.entry_states(batches, groups):
+            yield from table.to_batches()
 
     return job
 
 
 def taken_step_job(groups: list[str], report: str):
-    def job(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def job(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain_kernel.whole_groups(batches, groups):
-            yield chain_kernel.taken_steps(batch, groups, report)
+            yield from chain_kernel.taken_steps(batch, groups, report).to_batches()
 
     return job

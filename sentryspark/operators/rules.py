@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentryspark.functions.alert_text import json_text, span_text
 from sentryspark.functions.fields import (
-    FieldValue, event_millis, resolve_field, property_key, with_property_map,
+    FieldValue, event_millis, property_key, resolve_field, sql_string, with_property_map,
 )
 from sentryspark.functions.predicates import (
-    Membership, build_predicate, leaves, uses_properties,
+    Membership, build_predicate, is_one_of, leaves, no_lists, uses_properties,
 )
 from sentryspark.operators.chains import run_machines
 from sentryspark.operators.sliding import HOUR_MS, sliding_count
@@ -44,17 +46,13 @@ def eval_single(
     rules = of_kind(rules, "SingleEvent")
     prepared, member = prepare_events(events, rules, members)
     hits = [
-        F.when(build_predicate(rule.condition, member), F.struct(F.lit(i).alias("rule")))
+        (build_predicate(rule.condition, member), f"struct({i} AS rule)")
         for i, rule in enumerate(rules)
     ]
     found = explode_hits(prepared, hits, "rule INT")
-    facts = rule_facts(rules, lambda rule: {
-        "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(),
-    })
-    return (
-        found.withColumn("_fact", facts[F.col("rule")])
-        .select("*", "_fact.*").withColumn("context", F.lit("{}")).select(*MATCH_COLUMNS)
-    )
+    return with_facts(found, rules, lambda rule: {
+        "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(), "context": "{}",
+    }).select(*MATCH_COLUMNS)
 
 
 def temporal_rows(
@@ -64,25 +62,20 @@ def temporal_rows(
     rules = of_kind(rules, "Temporal")
     prepared, member = prepare_events(events, rules, members)
     hits = [
-        F.when(build_predicate(rule.condition, member), F.struct(
-            F.lit(i).alias("rule"),
-            F.coalesce(resolve_field(rule.partition_field).text, F.lit("global")).alias("key"),
-        ))
+        (build_predicate(rule.condition, member),
+         f"struct({i} AS rule, {partition_key(rule)} AS key)")
         for i, rule in enumerate(rules)
     ]
-    facts = rule_facts(rules, lambda rule: {
+    found = explode_hits(prepared, hits, "rule INT, key STRING")
+    return with_facts(found, rules, lambda rule: {
         "rule_id": rule.id, "severity": rule.severity, "window_ms": rule.window_ms,
         "threshold": rule.threshold, "is_rate": rule.is_rate, "minutes": rule.window_minutes,
         "span": span_text(rule.window_ms),
     })
-    found = explode_hits(prepared, hits, "rule INT, key STRING")
-    fact = facts[F.col("rule")]
-    return found.select(
-        fact["rule_id"].alias("rule_id"), "key", fact["severity"].alias("severity"),
-        *MATCH_EVENT_COLUMNS, "ms", fact["window_ms"].cast("long").alias("window_ms"),
-        fact["threshold"].alias("threshold"), fact["is_rate"].alias("is_rate"),
-        fact["minutes"].alias("minutes"), fact["span"].alias("span"),
-    )
+
+
+def partition_key(rule: Rule) -> str:
+    return f"coalesce({resolve_field(rule.partition_field).text}, 'global')"
 
 
 def eval_temporal(
@@ -123,24 +116,28 @@ def sequence_rows(
     prepared, member = prepare_events(events, rules, members)
     hits = []
     for i, rule in enumerate(rules):
-        bits = reduce(Column.__add__, (
-            build_predicate(tree, member).cast("long") * F.lit(1 << step).cast("long")
-            for step, (_, tree) in enumerate(rule.steps)
-        ))
-        hits.append(F.when(bits > 0, F.struct(F.lit(i).alias("rule"), bits.alias("bits"))))
-    facts = rule_facts(rules, lambda rule: {
-        "rule_id": rule.id, "severity": rule.severity, "n_steps": len(rule.steps),
-        "span_ms": rule.span_ms, "detail": rule.detail(), "final_step": final_label(rule),
+        tests = [build_predicate(tree, member) for _, tree in rule.steps]
+        bits = " + ".join(
+            f"CASE WHEN {test} THEN {1 << step}L ELSE 0L END" for step, test in enumerate(tests)
+        )
+        hits.append((f"({' OR '.join(tests)})", f"struct({i} AS rule, {bits} AS bits)"))
+    found = explode_hits(prepared, hits, "rule INT, bits BIGINT")
+    return with_facts(found, rules, lambda rule: {
+        "rule": rules.index(rule), "n_steps": len(rule.steps), "span_ms": rule.span_ms,
     })
-    fact = facts[F.col("rule")]
-    return explode_hits(prepared, hits, "rule INT, bits BIGINT").select(
-        fact["rule_id"].alias("rule_id"), fact["severity"].alias("severity"),
-        *MATCH_EVENT_COLUMNS, "ms", "bits",
-        fact["n_steps"].cast("long").alias("n_steps"),
-        fact["span_ms"].cast("long").alias("span_ms"), fact["detail"].alias("detail"),
-        json_text(fact["n_steps"].alias("sequence_steps"),
-                  fact["final_step"].alias("final_step")).alias("context"),
-    )
+
+
+def sequence_results(fired: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches of fired rows, which carry their rule's position."""
+    return with_facts(fired, of_kind(rules, "Sequence"), lambda rule: {
+        "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(),
+        "context": sequence_context(rule),
+    }).select(*MATCH_COLUMNS)
+
+
+def sequence_context(rule: Rule) -> str:
+    facts = {"sequence_steps": len(rule.steps), "final_step": rule.steps[-1][0]}
+    return json.dumps(facts, separators=(",", ":"), ensure_ascii=False)
 
 
 def eval_sequence(
@@ -148,38 +145,52 @@ def eval_sequence(
 ) -> DataFrame:
     """Triggered sequence rules: ordered steps per session, each within the span of the last."""
     rows = sequence_rows(events, rules, members)
-    fired = run_machines(rows, ["rule_id", "session_id"], ["event_id"], "last")
-    return fired.select(*MATCH_COLUMNS)
-
-
-def final_label(rule: Rule) -> str:
-    return rule.steps[-1][0]
+    fired = run_machines(rows, ["rule", "session_id"], ["event_id"], "last")
+    return sequence_results(fired, rules)
 
 
 def of_kind(rules: list[Rule], kind: str) -> list[Rule]:
     return [rule for rule in rules if rule.kind == kind]
 
 
-def rule_facts(rules: list[Rule], facts) -> Column:
-    """Per-rule constants as a literal array, looked up by the rule's position."""
-    rows = [F.struct(*[F.lit(v).alias(k) for k, v in facts(rule).items()]) for rule in rules]
-    if not rows:
-        # No rule of this kind: no row will look anything up, but the shape must hold.
-        blank = facts(Rule("", "", "", "", {}, steps=[("", {})]))
-        rows = [F.struct(*[F.lit(v).alias(k) for k, v in blank.items()])]
-    return F.array(*rows)
+def with_facts(
+    found: DataFrame, rules: list[Rule], facts: Callable[[Rule], dict]
+) -> DataFrame:
+    """Add the constants of each row's rule, looked up by position in a literal array."""
+    # Without a rule of this kind no row looks anything up, but the shape must hold.
+    known = rules or [Rule("", "", "", "", {}, steps=[("", {})])]
+    rows = ", ".join(
+        "struct(" + ", ".join(f"{sql_value(v)} AS {k}" for k, v in facts(rule).items()) + ")"
+        for rule in known
+    )
+    return found.withColumn("_fact", F.expr(f"array({rows})[rule]")).select(
+        *[c for c in found.columns if c != "rule"], "_fact.*"
+    )
+
+
+def sql_value(value: str | bool | int | float) -> str:
+    """A SQL literal; whole numbers are BIGINT, others DOUBLE."""
+    if isinstance(value, str):
+        return sql_string(value)
+    if isinstance(value, bool):
+        return str(value).lower()
+    return f"{value}L" if isinstance(value, int) else f"double('{value!r}')"
 
 
-def explode_hits(events: DataFrame, hits: list[Column], shape: str) -> DataFrame:
-    """One row per (event, hit) with the hit's fields as columns; NULL hits vanish."""
+def explode_hits(events: DataFrame, hits: list[tuple[str, str]], shape: str) -> DataFrame:
+    """One row per event and hit, a hit being (test, struct of columns)."""
+    cases = [f"CASE WHEN {test} THEN {row} END" for test, row in hits]
     chunks = [
-        F.array_compact(F.array(*hits[at:at + RULES_PER_ARRAY]))
-        for at in range(0, len(hits), RULES_PER_ARRAY)
+        f"array_compact(array({', '.join(cases[at:at + RULES_PER_ARRAY])}))"
+        for at in range(0, len(cases), RULES_PER_ARRAY)
     ]
-    found = F.flatten(F.array(*chunks)) if len(chunks) > 1 else chunks[0] if chunks else (
-        F.lit(None).cast(f"array<struct<{as_struct(shape)}>>")
+    if not chunks:
+        found = f"CAST(NULL AS ARRAY<STRUCT<{as_struct(shape)}>>)"
+    else:
+        found = f"flatten(array({', '.join(chunks)}))" if len(chunks) > 1 else chunks[0]
+    return events.select(
+        *MATCH_EVENT_COLUMNS, event_millis().alias("ms"), F.expr(f"inline({found})")
     )
-    return events.select(*MATCH_EVENT_COLUMNS, event_millis().alias("ms"), F.inline(found))
 
 
 def as_struct(shape: str) -> str:
@@ -203,7 +214,7 @@ def prepare_events(
         for tree in trees for leaf in leaves(tree) if leaf["type"] == "list"
     })
     if not pairs or members is None:
-        return events, lambda name, list_id, value: F.lit(False)
+        return events, no_lists
     inline = inline_lists(members, sorted({list_id for _, list_id in pairs}))
     flags = {}
     for number, (name, list_id) in enumerate(pairs):
@@ -211,10 +222,10 @@ def prepare_events(
             flags[name, list_id] = f"_listed_{number}"
             events = flag_members(events, members, name, list_id, flags[name, list_id])
 
-    def member(name: str, list_id: str, value: FieldValue) -> Column:
+    def member(name: str, list_id: str, value: FieldValue) -> str:
         if list_id in inline:
-            return value.text.isin(inline[list_id])
-        return F.col(flags[name, list_id])
+            return is_one_of(value.text, inline[list_id])
+        return flags[name, list_id]
 
     return events, member
 
@@ -238,5 +249,5 @@ def flag_members(
         members.where(F.col("list_id") == list_id)
         .select(F.col("value").alias("_value")).distinct().withColumn(flag, F.lit(True))
     )
-    joined = events.join(values, resolve_field(name).text == F.col("_value"), "left")
+    joined = events.join(values, F.expr(f"{resolve_field(name).text} = _value"), "left")
     return joined.drop("_value").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -22,7 +22,9 @@ from sentryspark.operators.alerting import NoiseLimits, enrich, suppress
 from sentryspark.operators.rollups import (
     agent_activity_daily, agent_activity_hourly, tool_usage_hourly,
 )
-from sentryspark.operators.rules import MATCH_COLUMNS, eval_single, sequence_rows, temporal_rows
+from sentryspark.operators.rules import (
+    MATCH_COLUMNS, eval_single, of_kind, sequence_context, sequence_rows, temporal_rows, with_facts,
+)
 from sentryspark.sources.alert_store import read_alerts, write_alerts
 from sentryspark.sources.catalog import Rule, load_rules
 from sentryspark.sources.event_store import (
@@ -81,7 +83,13 @@ def stream_sequence(
     events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
     """Matches of the sequence rules, as a stream."""
-    rows = sequence_rows(with_lateness(events), rules, members)
+    rows = with_facts(
+        sequence_rows(with_lateness(events), rules, members), of_kind(rules, "Sequence"),
+        lambda rule: {
+            "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(),
+            "context": sequence_context(rule),
+        },
+    )
     return rows.groupBy("rule_id", "session_id").transformWithState(
         SequenceProgress(), MATCH_SCHEMA, "Append", "EventTime", eventTimeColumnName="timestamp"
     )
