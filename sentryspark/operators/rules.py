@@ -31,12 +31,9 @@ def evaluate(events: DataFrame, rules: list[Rule], members: DataFrame | None = N
 
     ``members`` holds (list_id, value) of the managed lists that conditions refer to.
     """
-    parts = [
-        eval_single(events, rules, members),
-        eval_temporal(events, rules, members),
-        eval_sequence(events, rules, members),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    kinds = {"SingleEvent": eval_single, "Temporal": eval_temporal, "Sequence": eval_sequence}
+    used = [run for kind, run in kinds.items() if of_kind(rules, kind)] or [eval_single]
+    return reduce(DataFrame.unionByName, [run(events, rules, members) for run in used])
 
 
 def eval_single(
@@ -123,7 +120,7 @@ def sequence_rows(
         hits.append((f"({' OR '.join(tests)})", f"struct({i} AS rule, {bits} AS bits)"))
     found = explode_hits(prepared, hits, "rule INT, bits BIGINT")
     return with_facts(found, rules, lambda rule: {
-        "rule": rules.index(rule), "n_steps": len(rule.steps), "span_ms": rule.span_ms,
+        "n_steps": len(rule.steps), "span_ms": rule.span_ms,
     })
 
 
@@ -164,7 +161,7 @@ def with_facts(
         for rule in known
     )
     return found.withColumn("_fact", F.expr(f"array({rows})[rule]")).select(
-        *[c for c in found.columns if c != "rule"], "_fact.*"
+        *found.columns, "_fact.*"
     )
 
 
