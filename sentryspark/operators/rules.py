@@ -18,6 +18,7 @@ from sentryspark.functions.predicates import (
 )
 from sentryspark.operators.chains import run_machines
 from sentryspark.operators.sliding import HOUR_MS, sliding_count
+from sentryspark.session import cut_lineage
 from sentryspark.sources.catalog import Rule
 
 RULES_PER_ARRAY = 50
@@ -86,9 +87,10 @@ def eval_temporal(
     A rule counts its matching events per partition value and fires on each one for which
     the count (or the rate per minute) has reached the threshold.
     """
+    # Counting reads its rows twice; they are few next to the events, so scan those once.
+    rows = cut_lineage(temporal_rows(events, rules, members))
     counted = sliding_count(
-        temporal_rows(events, rules, members), ["rule_id", "key"], "ms", "window_ms",
-        ["event_id"], "window_count", block_ms,
+        rows, ["rule_id", "key"], "ms", "window_ms", ["event_id"], "window_count", block_ms
     )
     measure = F.when(
         F.col("is_rate"), F.col("window_count") / F.col("minutes")
@@ -141,7 +143,7 @@ def eval_sequence(
     events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
     """Triggered sequence rules: ordered steps per session, each within the span of the last."""
-    rows = sequence_rows(events, rules, members)
+    rows = cut_lineage(sequence_rows(events, rules, members))
     fired = run_machines(rows, ["rule", "session_id"], ["event_id"], "last")
     return sequence_results(fired, rules)
 
