@@ -7,21 +7,15 @@ all blocks run at once from their entry state.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentryspark.operators import chain_kernel
 
-# Ship the kernel with the job, so that executors need no installed copy of the package.
-cloudpickle.register_pickle_by_value(chain_kernel)
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BLOCKS_PER_SPAN = 8
 MACHINE = ["n_steps", "span_ms", "block_ms"]
 NUMBERS = ["step_in", "upto", "step_out", "expiry_out", *MACHINE]

@@ -17,6 +17,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # A message may repeat a field name; the last one counts.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark
 
 

@@ -46,10 +46,14 @@ def records_from_text(lines: DataFrame, topic: str = "files") -> DataFrame:
     )
 
 
-def written_entry(name: str) -> Column:
-    """The last entry of the message whose name equals ``name`` in any case."""
-    same = F.filter("_written", lambda entry: F.lower(entry["key"]) == name.lower())
-    return F.try_element_at(same, F.lit(-1))
+def computed_once(df: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """Add columns that the optimizer will not copy into every expression that reads them.
+
+    The row passes through a one-element array: unlike a projection, later steps and filters
+    are not merged with what is computed here.
+    """
+    row = F.struct(*df.columns, *[column.alias(name) for name, column in added.items()])
+    return df.select(F.inline(F.array(row)))
 
 
 def typed_value(value: Column, raw: Column, name: str, wanted: str) -> tuple[Column, Column]:
@@ -84,16 +88,20 @@ def decode_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     text = F.col("value").cast("string")
     parsed = F.try_parse_json(text)
-    is_null = F.coalesce(F.schema_of_variant(parsed) == "VOID", F.lit(False))
-    typed = F.try_variant_get(parsed, "$", "map<string,variant>")
-    written = F.map_entries(F.from_json(text, "map<string,string>"))
-    base = records.withColumns({"_null": is_null, "_typed": typed, "_written": written})
+    read = computed_once(records, {
+        "_null": F.coalesce(F.schema_of_variant(parsed) == "VOID", F.lit(False)),
+        "_typed": F.try_variant_get(parsed, "$", "map<string,variant>"),
+        "_written": F.from_json(text, "map<string,string>"),
+    })
+    # Lower-case name -> name as written; of names that differ in case only, the last counts.
+    names = F.map_keys("_written")
+    named = computed_once(read, {
+        "_names": F.map_from_arrays(F.transform(names, F.lower), names),
+    })
     fields, checks = [], []
     for name, wanted in RAW_EVENT_FIELDS.items():
-        entry = written_entry(name)
-        value, accepted = typed_value(
-            F.col("_typed")[entry["key"]], entry["value"], name, wanted
-        )
+        key = F.col("_names")[name.lower()]
+        value, accepted = typed_value(F.col("_typed")[key], F.col("_written")[key], name, wanted)
         fields.append(value.alias(name))
         checks.append(F.when(~F.coalesce(accepted, F.lit(False)), F.lit(name)))
     faults = F.array_compact(F.array(*checks))
@@ -107,7 +115,7 @@ def decode_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit("Failed to deserialize event at partition "), F.col("partition").cast("string"),
         F.lit(" offset "), F.col("offset").cast("string"), F.lit(": "), message,
     )
-    checked = base.withColumns({
+    checked = computed_once(named, {
         "event": F.struct(*fields),
         "_faults": F.when(known, faults).otherwise(F.array(F.lit("message"))),
     })

@@ -7,17 +7,12 @@ event-time timers once the watermark has passed its expiry.
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# Ship the processors with the query, so that executors need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def in_order(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda row: (row["ms"], row["event_id"]))
