@@ -1,4 +1,6 @@
 """Import of every operator module, which registers its query."""
 
-from sentryspark.llm import compression, packing, simhash, token_files  # noqa: F401
+from sentryspark.llm import (  # noqa: F401
+    compression, language_id, packing, quality, simhash, token_files,
+)
 from sentryspark.llm.common import ORACLES, QUERIES  # noqa: F401
