@@ -1,6 +1,7 @@
 """Import of every operator module, which registers its query."""
 
 from sentryspark.llm import (  # noqa: F401
-    compression, language_id, packing, quality, simhash, token_files,
+    compression, language_id, packing, pitman_yor, quality, simhash,
+    token_files,
 )
 from sentryspark.llm.common import ORACLES, QUERIES  # noqa: F401
