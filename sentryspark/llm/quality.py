@@ -114,45 +114,55 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str) -> list
     return [(row.text, row["__label"]) for row in rows.select("text", "__label").collect()]
 
 
+def scorer(model: tuple[np.ndarray, float]):
+    """A function that scores texts; it keeps what it worked out for their words."""
+    numbers, bias = model
+
+    def compute(words: list[bytes]) -> np.ndarray:
+        rows = np.zeros(len(words), dtype=[("sum", "f8"), ("count", "f8"), ("hash", "u8")])
+        if words:
+            owners, found, rows["hash"] = word_features(words)
+            rows["sum"] = np.bincount(owners, numbers[found], len(words))
+            rows["count"] = np.bincount(owners, minlength=len(words))
+        return rows
+
+    known = WordRows(compute)
+
+    def score(texts: list[str | None]) -> np.ndarray:
+        texts = [text or "" for text in texts]
+        scores = [np.zeros(0)]
+        for low, high in slices(texts):
+            split = [text.encode().split() for text in texts[low:high]]
+            sizes = [len(words) for words in split]
+            flat = [word for words in split for word in words]
+            places = known.look(flat)
+            rows = known.rows[places]
+            sums, counts = rows["sum"].copy(), rows["count"].copy()
+            if len(flat) > 1:
+                pairs = numbers[pair_buckets(rows["hash"])].astype(np.float64)
+                inner = np.ones(len(flat) - 1, dtype=bool)
+                ends = np.cumsum(sizes)
+                inner[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+                sums[1:] += np.where(inner, pairs, 0.0)
+                counts[1:] += inner
+            total = sums_by_text(np.stack([sums, counts], axis=1), sizes)
+            mean = total[:, 0] / np.maximum(total[:, 1], 1)
+            scores.append(1 / (1 + np.exp(-np.clip(mean + bias, -500, 500))))
+        return np.concatenate(scores)
+
+    return score
+
+
 def score_texts(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(doc_id, score): the probability of label 1 of every whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        numbers, bias = shared.value
-
-        def compute(words: list[bytes]) -> np.ndarray:
-            rows = np.zeros(len(words), dtype=[("sum", "f8"), ("count", "f8"), ("hash", "u8")])
-            if words:
-                owners, found, rows["hash"] = word_features(words)
-                rows["sum"] = np.bincount(owners, numbers[found], len(words))
-                rows["count"] = np.bincount(owners, minlength=len(words))
-            return rows
-
-        table_of_words = WordRows(compute)
+        score = scorer(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            scores = []
-            for low, high in slices(texts):
-                split = [text.encode().split() for text in texts[low:high]]
-                sizes = [len(words) for words in split]
-                flat = [word for words in split for word in words]
-                places = table_of_words.look(flat)
-                rows = table_of_words.rows[places]
-                sums, counts = rows["sum"].copy(), rows["count"].copy()
-                if len(flat) > 1:
-                    pairs = numbers[pair_buckets(rows["hash"])].astype(np.float64)
-                    inner = np.ones(len(flat) - 1, dtype=bool)
-                    ends = np.cumsum(sizes)
-                    inner[ends[(ends > 0) & (ends < len(flat))] - 1] = False
-                    sums[1:] += np.where(inner, pairs, 0.0)
-                    counts[1:] += inner
-                total = sums_by_text(np.stack([sums, counts], axis=1), sizes)
-                mean = total[:, 0] / np.maximum(total[:, 1], 1)
-                scores.append(1 / (1 + np.exp(-np.clip(mean + bias, -500, 500))))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.concatenate(scores))],
+                [batch.column(0).cast(pa.int64()), pa.array(score(batch.column(1).to_pylist()))],
                 ["doc_id", "score"])
 
         return step
@@ -160,6 +170,23 @@ def score_texts(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFr
     return map_texts(documents, ["doc_id", "text"], "doc_id long, score double", make)
 
 
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows, with all their columns, whose text scores 0.5 or more."""
+    model = train(training_sample(documents, labels, label))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    text = documents.columns.index("text")
+
+    def make():
+        score = scorer(shared.value)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(score(batch.column(text).to_pylist()) >= 0.5))
+
+        return step
+
+    return map_texts(documents, documents.columns, documents.schema, make)
+
+
 def classify(
     documents: DataFrame, labels: DataFrame, label: str = "quality", training: DataFrame | None = None,
 ) -> DataFrame:

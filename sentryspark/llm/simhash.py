@@ -228,6 +228,22 @@ def near_duplicates(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(
+    documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
+) -> DataFrame:
+    """One row, with all its columns, of each group of near-duplicates (the first as stored).
+
+    Rows are told apart by a number of their own, so repeated and null ids need no care.
+    """
+    numbered = written(
+        documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(
+        numbered.select(F.col("__row").alias("doc_id"), "text"), shingle, distance)
+    gone = written(
+        found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "duplicates")
+    return numbered.join(gone, "__row", "left_anti").select(*documents.columns)
+
+
 @query("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
