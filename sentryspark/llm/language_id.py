@@ -214,12 +214,18 @@ def train(rows: list[tuple[str, str]]) -> Models | None:
 
 def training_sample(documents: DataFrame) -> list[tuple[str, str]]:
     """At most TRAIN_ROWS texts per language, those of the smallest text hashes."""
-    ranked = documents.where(
+    usable = documents.where(
         F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARACTERS)
-    ).select("text", "lang", F.expr(
-        "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), xxhash64(text))"
-    ).alias("__rank"))
-    rows = ranked.where(F.col("__rank") <= TRAIN_ROWS).collect()
+    ).select("lang", "text", F.xxhash64("doc_id").alias("__order"))
+    rank = "row_number() OVER (PARTITION BY lang ORDER BY __order{}) AS __rank"
+    # The bounds are found on hashes alone, so that only texts of the sample are moved.
+    ends = usable.selectExpr("lang", "__order", rank.format("")).where(
+        f"__rank <= {TRAIN_ROWS}").groupBy("lang").agg(F.max("__order").alias("__end"))
+    rows = (
+        usable.join(ends, "lang").where("__order <= __end")
+        .selectExpr("lang", "text", rank.format(", xxhash64(text)"))
+        .where(f"__rank <= {TRAIN_ROWS}").collect()
+    )
     return [(row.text, row.lang) for row in sorted(rows, key=lambda row: (row.lang, row["__rank"]))]
 
 

@@ -23,8 +23,8 @@ from sentryspark.llm.tokens import slices
 from sentryspark.llm.word_rows import WordRows, mix, ngram_hashes, sums_by_text
 
 # Parameters of the sample: rows, and the longest text taken into it. Scoring takes whole texts.
-TRAIN_ROWS = 6000
-TRAIN_CHARACTERS = 20_000
+TRAIN_ROWS = 2500
+TRAIN_CHARACTERS = 10_000
 # Parameters of the model.
 BUCKETS, WIDTH = 1 << 18, 8
 NGRAMS = (3, 4, 5)
@@ -81,7 +81,10 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, float
     generator = np.random.default_rng(seed)
     vectors = generator.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, 2)), np.zeros(2)
-    samples = [(*text_features((text or "").encode().split()), label) for text, label in rows]
+    samples = []
+    for text, label in rows:
+        buckets, shares = text_features((text or "").encode().split())
+        samples.append((buckets.astype(np.int32), shares.astype(np.float32), label))
     steps, step = EPOCHS * len(samples), 0
     for _ in range(EPOCHS):
         for number in generator.permutation(len(samples)):
@@ -106,10 +109,14 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str) -> list
     """At most TRAIN_ROWS labelled texts, those of the smallest id hashes."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(label).alias("__label"))
+    usable = documents.where(F.length("text") <= TRAIN_CHARACTERS).select(
+        "doc_id", "text", F.xxhash64("doc_id").alias("__order"))
+    # The bound is found on hashes alone, so that only texts of the sample are moved.
+    ends = usable.select("doc_id", "__order").join(marked, "doc_id").select("__order").orderBy(
+        "__order").limit(TRAIN_ROWS).agg(F.max("__order")).head()[0]
     rows = (
-        documents.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARACTERS)
-        .join(marked, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS)
+        usable.where(F.col("__order") <= F.lit(ends)).join(marked, "doc_id")
+        .orderBy("__order", "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS)
     )
     return [(row.text, row["__label"]) for row in rows.select("text", "__label").collect()]
 
