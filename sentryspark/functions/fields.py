@@ -122,7 +122,7 @@ def double_text(column: str) -> str:
     mantissa = f"regexp_replace(split_part({plain}, 'E', 1), '[.]0$', '')"
     exponent = f"try_cast(split_part({plain}, 'E', 2) AS INT)"
     return f"""CASE WHEN NOT contains({plain}, 'E') THEN regexp_replace({plain}, '[.]0$', '')
-        WHEN abs({column}) >= 1e-5 AND abs({column}) < 1e15 THEN {digits}
+        WHEN abs({column}) >= 1e-4 AND abs({column}) < 1e15 THEN {digits}
         ELSE concat({mantissa}, CASE WHEN {exponent} < 0 THEN 'E-' ELSE 'E+' END,
           lpad(CAST(abs({exponent}) AS STRING), 2, '0')) END"""
 

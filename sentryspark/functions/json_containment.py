@@ -55,6 +55,11 @@ def equals_scalar(value: Column, pattern) -> Column:
     elif isinstance(pattern, (int, float)):
         number = F.try_variant_get(value, "$", "double")
         test = kind.rlike(NUMBER_KINDS) & (number == float(pattern))
+        if isinstance(pattern, int) and abs(pattern) < 10 ** 38:
+            # Whole numbers beyond 2^53 share doubles; where both are whole, compare digits.
+            whole = F.try_variant_get(value, "$", "decimal(38,0)")
+            exact = whole == F.lit(str(pattern)).cast("decimal(38,0)")
+            test = test & ((kind == "DOUBLE") | F.coalesce(exact, F.lit(True)))
     else:
         test = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == pattern)
     return F.coalesce(test, F.lit(False))

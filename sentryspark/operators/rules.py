@@ -14,7 +14,7 @@ from sentryspark.functions.fields import (
     FieldValue, event_millis, property_key, resolve_field, sql_string, with_property_map,
 )
 from sentryspark.functions.predicates import (
-    Membership, build_predicate, is_one_of, leaves, no_lists, uses_properties,
+    Membership, build_predicate, leaves, no_lists, uses_properties,
 )
 from sentryspark.operators.chains import run_machines
 from sentryspark.operators.sliding import HOUR_MS, sliding_count
@@ -22,7 +22,6 @@ from sentryspark.session import cut_lineage
 from sentryspark.sources.catalog import Rule
 
 RULES_PER_ARRAY = 50
-INLINE_LIST_LIMIT = 1_000
 MATCH_EVENT_COLUMNS = ["event_id", "timestamp", "agent_id", "agent_name", "session_id"]
 MATCH_COLUMNS = ["rule_id", "severity", *MATCH_EVENT_COLUMNS, "ms", "detail", "context"]
 
@@ -92,9 +91,10 @@ def eval_temporal(
     counted = sliding_count(
         rows, ["rule_id", "key"], "ms", "window_ms", ["event_id"], "window_count", block_ms
     )
-    measure = F.when(
-        F.col("is_rate"), F.col("window_count") / F.col("minutes")
-    ).otherwise(F.col("window_count").cast("double"))
+    # A window of no length has an endless rate once it holds an event; it stops no other rule.
+    rate = F.when(F.col("minutes") > 0, F.try_divide("window_count", "minutes")).when(
+        F.col("window_count") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    measure = F.when(F.col("is_rate"), rate).otherwise(F.col("window_count").cast("double"))
     return counted.where(measure >= F.col("threshold")).select(
         "rule_id", "severity", *MATCH_EVENT_COLUMNS, "ms",
         F.concat(F.col("window_count").cast("string"), F.lit(" events in "),
@@ -201,8 +201,8 @@ def prepare_events(
 ) -> tuple[DataFrame, Membership]:
     """Add the helper columns the rules need, and the way to test list membership.
 
-    Lists of up to ``INLINE_LIST_LIMIT`` values become literals; larger ones are joined on
-    the field's text as a flag column, so no list is ever held whole in a task by force.
+    A list of any length is joined on the field's text as a flag column; Spark broadcasts its
+    distinct values where their measured size is small.
     """
     trees = [tree for rule in rules for tree in rule.conditions()]
     partition_keys = [r.partition_field for r in rules if r.kind == "Temporal"]
@@ -214,32 +214,17 @@ def prepare_events(
     })
     if not pairs or members is None:
         return events, no_lists
-    inline = inline_lists(members, sorted({list_id for _, list_id in pairs}))
     flags = {}
     for number, (name, list_id) in enumerate(pairs):
-        if list_id not in inline:
-            flags[name, list_id] = f"_listed_{number}"
-            events = flag_members(events, members, name, list_id, flags[name, list_id])
+        flags[name, list_id] = f"_listed_{number}"
+        events = flag_members(events, members, name, list_id, flags[name, list_id])
 
     def member(name: str, list_id: str, value: FieldValue) -> str:
-        if list_id in inline:
-            return is_one_of(value.text, inline[list_id])
         return flags[name, list_id]
 
     return events, member
 
 
-def inline_lists(members: DataFrame, list_ids: list[str]) -> dict[str, list[str]]:
-    """Members of the lists short enough to be literals, by list id."""
-    wanted = members.where(F.col("list_id").isin(list_ids))
-    sizes = {r["list_id"]: r["count"] for r in wanted.groupBy("list_id").count().collect()}
-    small = [i for i in list_ids if sizes.get(i, 0) <= INLINE_LIST_LIMIT]
-    found: dict[str, list[str]] = {list_id: [] for list_id in small}
-    for row in wanted.where(F.col("list_id").isin(small)).toLocalIterator():
-        found[row["list_id"]].append(row["value"])
-    return found
-
-
 def flag_members(
     events: DataFrame, members: DataFrame, name: str, list_id: str, flag: str
 ) -> DataFrame:

@@ -13,9 +13,8 @@ from sentryspark.schema import ALERT_STATES, SEVERITIES
 
 # Default and largest page sizes.
 ALERT_PAGE_DEFAULT, ALERT_PAGE_MAX = 50, 200
-EVENT_PAGE_DEFAULT, EVENT_PAGE_MAX = 100, 500
+EVENT_PAGE_MAX = 500
 SESSION_PAGE_DEFAULT, SESSION_PAGE_MAX = 50, 200
-MAX_HOURS = 720
 
 # Default orders, each closed by a unique key.
 EVENT_ORDER = ("timestamp", "event_id")
@@ -95,7 +94,7 @@ def list_sessions(
 
 def last_hours(df: DataFrame, column: str, hours: int, as_of: datetime) -> DataFrame:
     """Rows whose ``column`` (a bucket start) lies within ``hours`` before ``as_of``."""
-    hours = clamp(hours, 1, MAX_HOURS)
+    hours = max(hours, 1)
     return df.where(F.col(column) >= F.lit(as_of - timedelta(hours=hours)))
 
 

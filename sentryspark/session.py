@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,33 +27,20 @@ def prepare_streaming(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared checkpoint folder, or None where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach: ``spark.checkpoint.dir``, or else the warehouse's."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` where it feeds several later steps, so that it is computed once.
-
-    Files go to the folder the session names in ``spark.checkpoint.dir``. Without one, a
-    local session (tests) uses a temporary folder and a cluster session goes on uncut.
-    """
+    """Checkpoint ``df`` where it feeds several later steps, so that it is computed once."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared one; a temporary one in a local session."""
-    shared = shared_folder(spark)
-    if shared is not None:
-        return f"{shared}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -52,8 +52,9 @@ def write_events(events: DataFrame, path: str) -> None:
 
 def write_event_batch(events: DataFrame, batch_id: int, path: str) -> None:
     """Write one micro-batch so that a replay of the same batch replaces it."""
-    numbered = stored_form(events).withColumn("batch_id", F.lit(batch_id))
-    overwrite_partitions(numbered, ["batch_id", DAY], path)
+    # The whole folder of the batch is replaced, so a replay with fewer rows leaves none behind.
+    stored_form(events).write.mode("overwrite").partitionBy(DAY).parquet(
+        f"{path}/batch_id={batch_id}")
 
 
 def overwrite_partitions(df: DataFrame, keys: list[str], path: str) -> None:
@@ -90,8 +91,23 @@ def kept_rows(table: DataFrame, column: str, name: str, as_of: datetime) -> Data
 def expired_days(spark: SparkSession, path: str, name: str, as_of: datetime) -> list[date]:
     """Days of a day-partitioned table that lie wholly before its retention."""
     oldest = (as_of - timedelta(days=RETENTION_DAYS[name])).date()
-    days = read_events(spark, path).select(DAY).distinct().where(F.col(DAY) < F.lit(oldest))
-    return sorted(row[0] for row in days.toLocalIterator())
+    return sorted({day for day, _ in day_folders(spark, path) if day < oldest})
+
+
+def day_folders(spark: SparkSession, path: str) -> list[tuple[date, object]]:
+    """Day of each partition folder of a table (event days or roll-up buckets), and the folder.
+
+    Only folder names are listed; no file is opened.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for parent in partition_parents(spark, files, folder):
+        for status in files.listStatus(parent):
+            key, _, value = status.getPath().getName().partition("=")
+            if key in (DAY, "bucket_key") and value[:4].isdigit():
+                found.append((date.fromisoformat(value[:10]), status.getPath()))
+    return found
 
 
 def apply_retention(
@@ -104,11 +120,9 @@ def apply_retention(
     days = expired_days(spark, path, name, as_of)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for parent in partition_parents(spark, files, folder):
-        for day in days:
-            expired = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent, f"{DAY}={day}")
-            if files.exists(expired):
-                files.delete(expired, True)
+    for day, expired in day_folders(spark, path):
+        if day in days:
+            files.delete(expired, True)
     return days
 
 

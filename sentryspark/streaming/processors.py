@@ -13,6 +13,9 @@ from collections.abc import Iterator
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# How late rows may be, as in the watermark of the rule streams.
+DELAY_MS = 10 * 60 * 1000
+
 
 def in_order(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda row: (row["ms"], row["event_id"]))
@@ -69,15 +72,15 @@ class SlidingCount(ExpiringProcessor):
             times.insert(bisect_right(times, now), now)
             count = bisect_right(times, now) - bisect_right(times, now - window)
             latest = max(latest, times[-1])
-            measure = count / row["minutes"] if row["is_rate"] else float(count)
+            measure = rate(count, row["minutes"]) if row["is_rate"] else float(count)
             if measure >= row["threshold"]:
                 yield matched(row, f"{count} events in {row['span']}",
                               '{"window_count":%d}' % count)
         self.keep(times, latest, window, timerValues)
 
     def keep(self, times, latest, window, timerValues) -> None:
-        # Rows may still arrive back to the watermark; without one, back to the latest row.
-        since = max(timerValues.getCurrentWatermarkInMs(), 0) or latest
+        # Rows may still arrive back to the watermark; without one, back to the allowed delay.
+        since = max(timerValues.getCurrentWatermarkInMs(), 0) or latest - DELAY_MS
         counts: dict[int, int] = {}
         for moment in times[bisect_right(times, since - window):]:
             counts[moment] = counts.get(moment, 0) + 1
@@ -157,11 +160,18 @@ class Throttle(ExpiringProcessor):
             count = bisect_right(times, now) - bisect_right(times, now - self.window_ms)
             if count <= self.limit:
                 yield row
-        since = max(timerValues.getCurrentWatermarkInMs(), 0) or times[-1]
+        since = max(timerValues.getCurrentWatermarkInMs(), 0) or times[-1] - DELAY_MS
         self.moments.put([(m,) for m in times[bisect_right(times, since - self.window_ms):]])
         self.keep_until(times[-1] + self.window_ms)
 
 
+def rate(count: int, minutes: float) -> float:
+    """Events per minute; a window of no length has an endless rate once it holds an event."""
+    if minutes > 0:
+        return count / minutes
+    return float("inf") if count else float("-inf")
+
+
 def matched(row: Row, detail: str, context: str) -> Row:
     """The match of one event, in the columns of ``MATCH_COLUMNS``."""
     return Row(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sentryspark.functions.fields import double_text, parse_number, with_property_map
 from sentryspark.functions.json_containment import json_contains
 from sentryspark.functions.predicates import ConditionError, parse_condition, predicate
-from sentryspark.operators.rules import INLINE_LIST_LIMIT, prepare_events
+from sentryspark.operators.rules import prepare_events
 from sentryspark.sources.catalog import Rule
 
 PROPERTIES = '{"b":true,"c":"true","n":null,"d":1.0,"a":{"b":1},"a.b":2,"q":"it\'s \\\\ ok"}'
@@ -96,13 +96,13 @@ def test_number_and_text_forms(spark):
              "-Infinity": float("-inf"), "1,000": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
     assert {r[0]: r[1] for r in rows.select("t", parse_number("t")).collect()} == texts
-    doubles = {500.0: "500", 1.5e8: "150000000", 0.1: "0.1", 1e-5: "0.00001", 1e-6: "1E-06",
+    doubles = {500.0: "500", 1.5e8: "150000000", 0.1: "0.1", 1e-4: "0.0001", 1.5e-4: "0.00015", 1e-5: "1E-05", 5e-5: "5E-05", 1e-6: "1E-06",
                1e15: "1E+15", 1.25e17: "1.25E+17", -2.5e9: "-2500000000"}
     rows = spark.createDataFrame([(d,) for d in doubles], "d DOUBLE")
     assert {r[0]: r[1] for r in rows.select("d", F.expr(double_text("d"))).collect()} == doubles
 
 
-@pytest.mark.parametrize("size", [3, INLINE_LIST_LIMIT + 5])
+@pytest.mark.parametrize("size", [3, 1_005])
 def test_lists_inline_and_joined(spark, make_events, size):
     events = make_events({"tool_name": "t1"}, {"tool_name": "t-none"}, {"tool_name": None})
     members = spark.createDataFrame([("l", f"t{i}") for i in range(size)],
