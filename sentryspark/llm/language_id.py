@@ -213,17 +213,24 @@ def train(rows: list[tuple[str, str]]) -> Models | None:
 
 
 def training_sample(documents: DataFrame) -> list[tuple[str, str]]:
-    """At most TRAIN_ROWS texts per language, those of the smallest text hashes."""
+    """At most TRAIN_ROWS texts per language, those of the smallest id hashes.
+
+    Hashes are even, so about twice the sample lies below a bound set by the number of ids of a
+    language; only these rows are grouped and ranked, whatever share of all rows a language
+    holds. An id counts once per language, with its smallest text. There is one bound per
+    language, as there is one column of the models: few enough to broadcast.
+    """
     usable = documents.where(
         F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARACTERS)
     ).select("lang", "text", F.xxhash64("doc_id").alias("__order"))
-    rank = "row_number() OVER (PARTITION BY lang ORDER BY __order{}) AS __rank"
-    # The bounds are found on hashes alone, so that only texts of the sample are moved.
-    ends = usable.selectExpr("lang", "__order", rank.format("")).where(
-        f"__rank <= {TRAIN_ROWS}").groupBy("lang").agg(F.max("__order").alias("__end"))
+    bounds = usable.groupBy("lang").agg(F.approx_count_distinct("__order").alias("ids")).select(
+        "lang", (F.lit(2.0 * TRAIN_ROWS) / F.col("ids") * 2.0 ** 64 - 2.0 ** 63).alias("__bound"))
     rows = (
-        usable.join(ends, "lang").where("__order <= __end")
-        .selectExpr("lang", "text", rank.format(", xxhash64(text)"))
+        usable.join(F.broadcast(bounds), "lang")
+        .where(F.col("__order").cast("double") <= F.col("__bound"))
+        .groupBy("lang", "__order").agg(F.min("text").alias("text"))
+        .selectExpr("lang", "text",
+                    "row_number() OVER (PARTITION BY lang ORDER BY __order) AS __rank")
         .where(f"__rank <= {TRAIN_ROWS}").collect()
     )
     return [(row.text, row.lang) for row in sorted(rows, key=lambda row: (row.lang, row["__rank"]))]
