@@ -59,7 +59,7 @@ def dedup(matches: DataFrame, window_ms: int = NoiseLimits.dedup_ms) -> DataFram
     )
     # Taking the only step of the first kind, with a second step that never comes.
     machine = candidates.select(
-        "*", F.lit(1).cast("long").alias("bits"), F.lit(2).cast("long").alias("n_steps"),
+        "*", F.array(F.lit(0)).alias("steps"), F.lit(2).cast("long").alias("n_steps"),
         F.lit(window_ms).cast("long").alias("span_ms"),
     )
     return run_machines(machine, ["fingerprint"], [], "first").select(*printed.columns)

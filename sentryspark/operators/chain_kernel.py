@@ -72,14 +72,22 @@ class BlockNodes:
         self.span = numbers(batch, "span_ms")
         self.steps = numbers(batch, "n_steps")
         self.width = int(self.steps.max())
-        bits = numbers(batch, "bits")
+        # Matching rows of step k: hit_rows[hit_from[k]:hit_from[k + 1]].
+        lists = batch.column("steps").combine_chunks()
+        matched = lists.flatten().to_numpy(zero_copy_only=False)
+        held = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        by_step = np.argsort(matched, kind="stable")
+        hit_rows = held[by_step]
+        hit_from = np.searchsorted(matched[by_step], np.arange(self.width + 1))
         # First row at or after each row that matches step k, or ``rows`` when none is left
         # in the group. The extra last line answers lookups past the end.
         self.next_match = np.full((rows + 1, self.width), rows, dtype=np.int64)
         index = np.arange(rows)
         row_end = self.ends[self.group]
         for step in range(self.width):
-            hit = np.where((bits >> step) & 1 == 1, index, rows)
+            hit = np.full(rows, rows, dtype=np.int64)
+            hits = hit_rows[hit_from[step]:hit_from[step + 1]]
+            hit[hits] = hits
             nearest = np.minimum.accumulate(hit[::-1])[::-1]
             self.next_match[:-1, step] = np.where(nearest < row_end, nearest, rows)
         self.rows = rows

@@ -30,8 +30,8 @@ def run_machines(
 ) -> DataFrame:
     """Rows of ``rows`` at which their key's machine takes its ``first`` or ``last`` step.
 
-    ``rows`` needs ``keys`` (not NULL), ``ms``, ``bits`` (bit k set: the row matches step k),
-    ``n_steps`` and ``span_ms`` (both fixed per key). Order is ``ms`` then ``ties``.
+    ``rows`` needs ``keys`` (not NULL), ``ms``, ``steps`` (an array of the numbers of the steps the
+    row matches), ``n_steps`` and ``span_ms`` (both fixed per key). Order is ``ms`` then ``ties``.
     Blocks last ``BLOCKS_PER_SPAN`` spans, so an expiry never outlives the next block.
     """
     block_ms = F.greatest(F.col("span_ms"), F.lit(1)) * BLOCKS_PER_SPAN
@@ -39,7 +39,7 @@ def run_machines(
         "block", F.floor(F.col("ms") / F.col("block_ms"))
     )
     groups = [*keys, "block"]
-    needed = [*groups, "ms", *[t for t in ties if t not in groups], "bits", *MACHINE]
+    needed = [*groups, "ms", *[t for t in ties if t not in groups], "steps", *MACHINE]
     tables = in_groups(blocked.select(*needed), groups, ties).mapInArrow(
         exit_table_job(groups), numbers_schema(blocked, groups, NUMBERS)
     )
@@ -49,7 +49,7 @@ def run_machines(
     )
     # Entry states travel as rows ahead of their block: they match no step.
     ahead = entries.withColumns({
-        "ms": F.col("block") * F.col("block_ms") - 1, "bits": F.lit(0).cast("long"),
+        "ms": F.col("block") * F.col("block_ms") - 1, "steps": F.array().cast("array<int>"),
     })
     entered = blocked.withColumns({
         "step_in": F.lit(0).cast("long"), "expiry_in": F.lit(0).cast("long"),

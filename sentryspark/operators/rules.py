@@ -17,10 +17,11 @@ from sentryspark.functions.predicates import (
     Membership, build_predicate, leaves, no_lists, uses_properties,
 )
 from sentryspark.operators.chains import run_machines
-from sentryspark.operators.sliding import HOUR_MS, sliding_count
+from sentryspark.operators.sliding import sliding_count
 from sentryspark.session import cut_lineage
 from sentryspark.sources.catalog import Rule
 
+KINDS = ("SingleEvent", "Temporal", "Sequence")
 RULES_PER_ARRAY = 50
 MATCH_EVENT_COLUMNS = ["event_id", "timestamp", "agent_id", "agent_name", "session_id"]
 MATCH_COLUMNS = ["rule_id", "severity", *MATCH_EVENT_COLUMNS, "ms", "detail", "context"]
@@ -29,42 +30,69 @@ MATCH_COLUMNS = ["rule_id", "severity", *MATCH_EVENT_COLUMNS, "ms", "detail", "c
 def evaluate(events: DataFrame, rules: list[Rule], members: DataFrame | None = None) -> DataFrame:
     """All triggered results of ``rules``: one row per (rule, event).
 
-    ``members`` holds (list_id, value) of the managed lists that conditions refer to.
+    ``members`` holds (list_id, value) of the managed lists that conditions refer to. One scan and
+    one projection find the rows that any rule's condition hits, whatever its kind; they are few
+    next to the events, are written once, and the kinds go on from there.
     """
-    kinds = {"SingleEvent": eval_single, "Temporal": eval_temporal, "Sequence": eval_sequence}
-    used = [run for kind, run in kinds.items() if of_kind(rules, kind)] or [eval_single]
-    return reduce(DataFrame.unionByName, [run(events, rules, members) for run in used])
+    hits = tagged_hits(events, rules, members)
+    if any(rule.kind != "SingleEvent" for rule in rules):
+        hits = cut_lineage(hits)
+    kinds = {"SingleEvent": single_results, "Temporal": temporal_results, "Sequence": sequence_matches}
+    used = [run for kind, run in kinds.items() if of_kind(rules, kind)] or [single_results]
+    return reduce(DataFrame.unionByName, [run(hits, rules) for run in used])
+
+
+def tagged_hits(
+    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
+) -> DataFrame:
+    """Rows that a rule's condition hits, once per rule, tagged with the rule's ``kind``.
+
+    ``rule`` is its position among the rules of its kind. Window rules add the partition value as
+    ``key``, sequence rules the numbers of the steps the row matches as ``steps``: only the condition of
+    the current step is tested later, so rows that match no step of a rule change nothing.
+    """
+    prepared, member = prepare_events(events, rules, members)
+    hits = []
+    for kind in KINDS:
+        for i, rule in enumerate(of_kind(rules, kind)):
+            tests = [build_predicate(tree, member) for tree in rule.conditions()]
+            key, steps = "CAST(NULL AS STRING)", "CAST(NULL AS ARRAY<INT>)"
+            if kind == "Temporal":
+                key = partition_key(rule)
+            if kind == "Sequence":
+                marks = ", ".join(f"CASE WHEN {test} THEN {n} END" for n, test in enumerate(tests))
+                steps = f"array_compact(array({marks}))"
+            hits.append((f"({' OR '.join(tests)})",
+                         f"struct('{kind}' AS kind, {i} AS rule, {key} AS key, {steps} AS steps)"))
+    return explode_hits(prepared, hits, "kind STRING, rule INT, key STRING, steps ARRAY<INT>")
+
+
+def hits_of(events: DataFrame, rules: list[Rule], members: DataFrame | None, kind: str) -> DataFrame:
+    return tagged_hits(events, of_kind(rules, kind), members)
+
+
+def kind_rows(hits: DataFrame, kind: str) -> DataFrame:
+    return hits.where(F.col("kind") == kind).drop("kind")
 
 
 def eval_single(
     events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
     """Triggered single-event rules."""
-    rules = of_kind(rules, "SingleEvent")
-    prepared, member = prepare_events(events, rules, members)
-    hits = [
-        (build_predicate(rule.condition, member), f"struct({i} AS rule)")
-        for i, rule in enumerate(rules)
-    ]
-    found = explode_hits(prepared, hits, "rule INT")
-    return with_facts(found, rules, lambda rule: {
+    return single_results(hits_of(events, rules, members, "SingleEvent"), rules)
+
+
+def single_results(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    found = kind_rows(hits, "SingleEvent").drop("key", "steps")
+    return with_facts(found, of_kind(rules, "SingleEvent"), lambda rule: {
         "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(), "context": "{}",
     }).select(*MATCH_COLUMNS)
 
 
-def temporal_rows(
-    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
-) -> DataFrame:
+def temporal_rows(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """Events that match a sliding-window rule, once per rule, with key and settings."""
-    rules = of_kind(rules, "Temporal")
-    prepared, member = prepare_events(events, rules, members)
-    hits = [
-        (build_predicate(rule.condition, member),
-         f"struct({i} AS rule, {partition_key(rule)} AS key)")
-        for i, rule in enumerate(rules)
-    ]
-    found = explode_hits(prepared, hits, "rule INT, key STRING")
-    return with_facts(found, rules, lambda rule: {
+    found = kind_rows(hits, "Temporal").drop("steps")
+    return with_facts(found, of_kind(rules, "Temporal"), lambda rule: {
         "rule_id": rule.id, "severity": rule.severity, "window_ms": rule.window_ms,
         "threshold": rule.threshold, "is_rate": rule.is_rate, "minutes": rule.window_minutes,
         "span": span_text(rule.window_ms),
@@ -76,21 +104,18 @@ def partition_key(rule: Rule) -> str:
 
 
 def eval_temporal(
-    events: DataFrame,
-    rules: list[Rule],
-    members: DataFrame | None = None,
-    block_ms: int = HOUR_MS,
+    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
-    """Triggered sliding-window rules; all windows are counted in one pass.
+    """Triggered sliding-window rules; all windows are counted in one pass."""
+    # Counting reads its rows more than once; they are few next to the events.
+    return temporal_results(cut_lineage(hits_of(events, rules, members, "Temporal")), rules)
 
-    A rule counts its matching events per partition value and fires on each one for which
-    the count (or the rate per minute) has reached the threshold.
-    """
-    # Counting reads its rows twice; they are few next to the events, so scan those once.
-    rows = cut_lineage(temporal_rows(events, rules, members))
+
+def temporal_results(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A rule counts its matching events per partition value and fires on each one for which
+    the count (or the rate per minute) has reached the threshold."""
     counted = sliding_count(
-        rows, ["rule_id", "key"], "ms", "window_ms", ["event_id"], "window_count", block_ms
-    )
+        temporal_rows(hits, rules), ["rule_id", "key"], "ms", "window_ms", ["event_id"], "window_count")
     # A window of no length has an endless rate once it holds an event; it stops no other rule.
     rate = F.when(F.col("minutes") > 0, F.try_divide("window_count", "minutes")).when(
         F.col("window_count") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
@@ -103,25 +128,10 @@ def eval_temporal(
     )
 
 
-def sequence_rows(
-    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
-) -> DataFrame:
-    """Events that match any step of a sequence rule, once per rule, with step bits.
-
-    Only the condition of the current step is tested; other events leave it as it is, so
-    rows that match no step of a rule are dropped before anything is ordered.
-    """
-    rules = of_kind(rules, "Sequence")
-    prepared, member = prepare_events(events, rules, members)
-    hits = []
-    for i, rule in enumerate(rules):
-        tests = [build_predicate(tree, member) for _, tree in rule.steps]
-        bits = " + ".join(
-            f"CASE WHEN {test} THEN {1 << step}L ELSE 0L END" for step, test in enumerate(tests)
-        )
-        hits.append((f"({' OR '.join(tests)})", f"struct({i} AS rule, {bits} AS bits)"))
-    found = explode_hits(prepared, hits, "rule INT, bits BIGINT")
-    return with_facts(found, rules, lambda rule: {
+def sequence_rows(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Events that match any step of a sequence rule, once per rule, with the steps' numbers."""
+    found = kind_rows(hits, "Sequence").drop("key")
+    return with_facts(found, of_kind(rules, "Sequence"), lambda rule: {
         "n_steps": len(rule.steps), "span_ms": rule.span_ms,
     })
 
@@ -143,8 +153,11 @@ def eval_sequence(
     events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
     """Triggered sequence rules: ordered steps per session, each within the span of the last."""
-    rows = cut_lineage(sequence_rows(events, rules, members))
-    fired = run_machines(rows, ["rule", "session_id"], ["event_id"], "last")
+    return sequence_matches(cut_lineage(hits_of(events, rules, members, "Sequence")), rules)
+
+
+def sequence_matches(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    fired = run_machines(sequence_rows(hits, rules), ["rule", "session_id"], ["event_id"], "last")
     return sequence_results(fired, rules)
 
 
@@ -193,7 +206,7 @@ def explode_hits(events: DataFrame, hits: list[tuple[str, str]], shape: str) ->
 
 
 def as_struct(shape: str) -> str:
-    return ",".join(":".join(part.split()) for part in shape.split(","))
+    return ",".join(":".join(part.split(maxsplit=1)) for part in shape.split(", "))
 
 
 def prepare_events(

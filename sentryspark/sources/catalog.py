@@ -16,9 +16,6 @@ from sentryspark.functions.predicates import (
 )
 from sentryspark.schema import RULE_KINDS, SEVERITIES
 
-# Step flags of a row are the bits of one BIGINT.
-MAX_STEPS = 63
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -86,8 +83,6 @@ def sequence_settings(text: str) -> dict:
     ]
     if not steps:
         raise ConditionError("A sequence needs at least one step")
-    if len(steps) > MAX_STEPS:
-        raise ConditionError(f"A sequence of {len(steps)} steps is longer than {MAX_STEPS}")
     return {"span_ms": int(float(required(config, "maxSpanSeconds")) * 1000), "steps": steps}
 
 

@@ -23,7 +23,8 @@ from sentryspark.operators.rollups import (
     agent_activity_daily, agent_activity_hourly, tool_usage_hourly,
 )
 from sentryspark.operators.rules import (
-    MATCH_COLUMNS, eval_single, of_kind, sequence_context, sequence_rows, temporal_rows, with_facts,
+    MATCH_COLUMNS, eval_single, hits_of, of_kind, sequence_context, sequence_rows, temporal_rows,
+    with_facts,
 )
 from sentryspark.sources.alert_store import read_alerts, write_alerts
 from sentryspark.sources.catalog import Rule, load_rules
@@ -73,7 +74,7 @@ def stream_temporal(
     events: DataFrame, rules: list[Rule], members: DataFrame | None = None
 ) -> DataFrame:
     """Matches of the sliding-window rules, as a stream."""
-    rows = temporal_rows(with_lateness(events), rules, members)
+    rows = temporal_rows(hits_of(with_lateness(events), rules, members, "Temporal"), rules)
     return rows.groupBy("rule_id", "key").transformWithState(
         SlidingCount(), MATCH_SCHEMA, "Append", "EventTime", eventTimeColumnName="timestamp"
     )
@@ -84,7 +85,8 @@ def stream_sequence(
 ) -> DataFrame:
     """Matches of the sequence rules, as a stream."""
     rows = with_facts(
-        sequence_rows(with_lateness(events), rules, members), of_kind(rules, "Sequence"),
+        sequence_rows(hits_of(with_lateness(events), rules, members, "Sequence"), rules),
+        of_kind(rules, "Sequence"),
         lambda rule: {
             "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(),
             "context": sequence_context(rule),

@@ -102,7 +102,7 @@ class SequenceProgress(ExpiringProcessor):
         for row in in_order(rows):
             if step and row["ms"] >= expiry:
                 step = 0
-            if not (row["bits"] >> step) & 1:
+            if step not in row["steps"]:
                 continue
             step, expiry = step + 1, row["ms"] + row["span_ms"]
             if step == row["n_steps"]:

@@ -14,6 +14,10 @@ from sentryspark.operators.percentiles import exact_percentiles
 from sentryspark.operators.sliding import running_sum, sliding_count, sliding_distinct
 
 
+# Numbers of the set bits.
+STEPS = "filter(sequence(0, 62), k -> (bits >> k) & 1L = 1)"
+
+
 def plain_machine(rows, steps, span, report):
     """Replay of (key, ms, bits, id) rows through the step machine of each key."""
     states, reported = {}, []
@@ -38,7 +42,7 @@ def test_machines_across_blocks(spark, steps, span, horizon, report):
     rows = [(rng.choice("hhhhab"), rng.randrange(horizon), rng.randrange(1, 2 ** steps), f"{i:04d}")
             for i in range(600)]
     frame = spark.createDataFrame(rows, "key STRING, ms BIGINT, bits BIGINT, id STRING").withColumns(
-        {"n_steps": F.lit(steps).cast("long"), "span_ms": F.lit(span).cast("long")})
+        {"steps": F.expr(STEPS), "n_steps": F.lit(steps).cast("long"), "span_ms": F.lit(span).cast("long")})
     got = run_machines(frame, ["key"], ["id"], report).select("id").collect()
     assert sorted(r[0] for r in got) == plain_machine(rows, steps, span, report)
 
@@ -47,7 +51,7 @@ def test_periodic_rows_never_merge_chains(spark):
     # One row per 7 ms and a window of 50 ms: chains from different starts stay apart.
     rows = [("k", ms, 1, f"{ms:05d}") for ms in range(3, 8000, 7)]
     frame = spark.createDataFrame(rows, "key STRING, ms BIGINT, bits BIGINT, id STRING").withColumns(
-        {"n_steps": F.lit(2).cast("long"), "span_ms": F.lit(50).cast("long")})
+        {"steps": F.expr(STEPS), "n_steps": F.lit(2).cast("long"), "span_ms": F.lit(50).cast("long")})
     got = run_machines(frame, ["key"], ["id"], "first").select("id").collect()
     assert sorted(r[0] for r in got) == plain_machine(rows, 2, 50, "first")
 
