@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from sentryspark.sources.event_store import compact_events, read_events, write_e
 from sentryspark.sources.raw import decode_events, normalize_events, records_from_text
 
 
+COMPACTED = datetime(2024, 1, 18, 23, 59, 59, 999999)
+
+
 def messages(spark, sf_dir) -> DataFrame:
     """Events as topic records; three in ten are broken in different ways."""
     kind = F.regexp_extract("properties", "([0-9]+)", 1).cast("int") % 10
@@ -65,7 +68,12 @@ def event_store_query(spark, sf_dir):
 @query("compacted_events", f"""WITH {AE} SELECT event_id, agent_id, event_type, timestamp FROM ae
  WHERE timestamp < TIMESTAMP '2024-01-19 00:00:00'""")
 def compacted_events_query(spark, sf_dir):
-    folder, target = new_folder(spark, "events"), new_folder(spark, "compact")
-    write_events(events_of(spark, sf_dir), folder)
-    compact_events(spark, folder, target, AS_OF - timedelta(days=5))
-    return spark.read.parquet(target).select("event_id", "agent_id", "event_type", "timestamp")
+    """Old days of two appends after two compactions, read through the layout."""
+    folder = new_folder(spark, "events")
+    events = events_of(spark, sf_dir)
+    write_events(events.where("hash(event_id) % 2 = 0"), folder)
+    compact_events(spark, folder, AS_OF - timedelta(days=5))
+    write_events(events.where("hash(event_id) % 2 <> 0"), folder)
+    compact_events(spark, folder, AS_OF - timedelta(days=5))
+    return read_events(spark, folder, end=COMPACTED).select(
+        "event_id", "agent_id", "event_type", "timestamp")

@@ -7,33 +7,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_OCTAVE = 32
+# A bin is a 6,000th of its values wide; there are some 40,000 of them per key in ten octaves.
+BINS_PER_OCTAVE = 4096
 
 
 def value_bin(value: Column) -> Column:
     """Order-preserving bin of a double: sign and ``BINS_PER_OCTAVE`` steps per power of two."""
-    steps = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + F.lit(40_000)
+    steps = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + F.lit(10_000_000)
     return (
-        F.when(F.isnan(value), F.lit(1_000_000)).when(value == 0, F.lit(0))
+        F.when(F.isnan(value), F.lit(100_000_000)).when(value == 0, F.lit(0))
         .when(value > 0, steps).otherwise(-steps)
     )
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """One row per key with the wanted percentiles: output name -> fraction.
 
-    Linear interpolation between the two neighbouring ranks; NULL values are ignored.
-    Values are counted per (key, bin, value) before anything is ordered. Bin totals (a few
-    thousand rows per key at most) tell which bins hold the wanted ranks, and only the
-    values of those bins are ranked.
+    Linear interpolation between the two neighbouring ranks; NULL values are ignored. With
+    ``weight`` a row stands for so many equal values. Values are counted per (key, bin, value)
+    before anything is ordered; bin totals, added up from these counts, tell which bins hold the
+    wanted ranks, and only the values of those bins are ranked.
     """
     binned = df.where(F.col(value).isNotNull()).select(
-        *keys, value_bin(F.col(value)).alias("_bin"), F.col(value).alias("_value")
+        *keys, value_bin(F.col(value)).alias("_bin"), F.col(value).alias("_value"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n")
     )
-    counts = binned.groupBy(*keys, "_bin", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    totals = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    counts = binned.groupBy(*keys, "_bin", "_value").agg(F.sum("_n").alias("_n"))
+    totals = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     upto = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = totals.withColumn("_size", F.sum("_n").over(by_key)).withColumn(

@@ -180,6 +180,35 @@ def with_facts(
     )
 
 
+def hit_facts(
+    hits: DataFrame, rules: list[Rule], facts: dict[str, Callable[[Rule], dict]]
+) -> DataFrame:
+    """Hits of all kinds with id, severity and the constants of their rule, in one projection.
+
+    A kind without some constant has NULL there.
+    """
+    rows = [(kind, i, {"rule_id": rule.id, "severity": rule.severity, **facts[kind](rule)})
+            for kind in KINDS for i, rule in enumerate(of_kind(rules, kind))]
+    # One unused rule per kind gives every column a type.
+    shapes = [facts[kind](Rule("", "", "", kind, {}, steps=[("", {})])) for kind in KINDS]
+    types = {"rule_id": "STRING", "severity": "STRING"}
+    types |= {name: sql_type(value) for shape in shapes for name, value in shape.items()}
+    entries = [
+        f"'{kind}:{i}', struct(" + ", ".join(
+            f"CAST({sql_value(row[name]) if name in row else 'NULL'} AS {kind_type}) AS {name}"
+            for name, kind_type in types.items()) + ")"
+        for kind, i, row in rows
+    ]
+    empty = "MAP<STRING, STRUCT<" + ", ".join(f"{n}: {t}" for n, t in types.items()) + ">>"
+    table = f"map({', '.join(entries)})" if entries else f"CAST(map() AS {empty})"
+    found = hits.withColumn("_fact", F.expr(f"({table})[concat(kind, ':', rule)]"))
+    return found.select(*hits.columns, "_fact.*")
+
+
+def sql_type(value: str | bool | int | float) -> str:
+    return {str: "STRING", bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE"}[type(value)]
+
+
 def sql_value(value: str | bool | int | float) -> str:
     """A SQL literal; whole numbers are BIGINT, others DOUBLE."""
     if isinstance(value, str):

@@ -1,4 +1,4 @@
-"""Alert tables: alerts, their event links and outbox, replayable per batch."""
+"""Alert tables: alerts, their event links, outbox and session marks, replayable per batch."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from sentryspark.operators.alerting import new_outbox, route
 from sentryspark.schema import ALERTS
-from sentryspark.sources.event_store import overwrite_partitions
+from sentryspark.session import scratch, written
+from sentryspark.sources.batches import Batch, read_table
+
+LINKS = "alert_id STRING, event_id STRING, event_timestamp TIMESTAMP, sequence_order INT"
+OUTBOX = "alert_id STRING, channel STRING, state STRING, attempts INT, next_attempt_at TIMESTAMP"
 
 
 def alert_rows(enriched: DataFrame) -> DataFrame:
@@ -29,23 +33,41 @@ def link_rows(enriched: DataFrame) -> DataFrame:
     )
 
 
-def write_alerts(enriched: DataFrame, batch_id: int, path: str) -> None:
-    """Write alerts, links and outbox of one batch; a replay of the batch replaces them.
+def add_alerts(batch: Batch, enriched: DataFrame) -> None:
+    """Alerts, links, outbox and session marks of a batch, to be committed together.
 
     Alert ids come from rule and event, so a replay names the same alerts.
     """
-    tables = {
-        "alerts": alert_rows(enriched),
-        "alert_events": link_rows(enriched),
-        "outbox": new_outbox(route(enriched)),
-    }
-    for name, rows in tables.items():
-        overwrite_partitions(
-            rows.withColumn("batch_id", F.lit(batch_id)), ["batch_id"], f"{path}/{name}"
-        )
-
-
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts written so far, each once even if two batches raised it; with ``batch_id``."""
-    table = spark.read.schema(f"{ALERTS}, batch_id BIGINT").parquet(f"{path}/alerts")
+    with scratch(batch.spark):
+        rows = written(enriched, "enriched")
+        batch.write("alerts", alert_rows(rows))
+        batch.write("alert_events", link_rows(rows))
+        batch.write("outbox", new_outbox(route(rows)))
+        batch.write("session_marks", rows.select("session_id", "alert_id", "severity"))
+
+
+def write_alerts(enriched: DataFrame, batch_id: int, root: str) -> None:
+    batch = Batch(enriched.sparkSession, root, "alerts", batch_id)
+    add_alerts(batch, enriched)
+    batch.commit()
+
+
+def read_alerts(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Alerts written so far, each once even if two batches raised it; with ``batch_id``.
+
+    ``before`` leaves out that batch and later ones first, so a replay sees what it saw at first.
+    """
+    table = read_table(spark, root, "alerts", ALERTS).drop("source")
+    if before is not None:
+        table = table.where(F.col("batch_id") < before)
     return table.dropDuplicates(["alert_id"])
+
+
+def read_links(spark: SparkSession, root: str) -> DataFrame:
+    table = read_table(spark, root, "alert_events", LINKS)
+    return table.drop("source", "batch_id").dropDuplicates(["alert_id"])
+
+
+def read_outbox(spark: SparkSession, root: str) -> DataFrame:
+    table = read_table(spark, root, "outbox", OUTBOX)
+    return table.drop("source", "batch_id").dropDuplicates(["alert_id", "channel"])

@@ -1,16 +1,20 @@
-"""The stored event table: day-partitioned Parquet with append, scan, retention, re-layout."""
+"""The stored event table: day folders with batches, scan, retention and compaction."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentryspark.functions.fields import time_bucket
 from sentryspark.schema import EVENTS
+from sentryspark.sources.batches import (
+    Batch, batch_folders, day_of, file_system, layout, read_table, set_layout, table_folders,
+)
 
 DAY = "event_date"
+TABLE = "events"
 
 # Days that rows are kept, and the age at which event files are re-laid.
 RETENTION_DAYS = {
@@ -20,6 +24,8 @@ RETENTION_DAYS = {
     "tool_usage_hourly": 365,
 }
 COMPACT_AFTER_DAYS = 7
+# Parameter: bytes of a compacted file.
+FILE_BYTES = 256 << 20
 
 
 def event_date(column: str = "timestamp"):
@@ -45,37 +51,33 @@ def stored_form(events: DataFrame) -> DataFrame:
     return events.select(*columns).withColumn(DAY, event_date())
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append a batch of events to the table."""
-    stored_form(events).write.mode("append").partitionBy(DAY).parquet(path)
+def write_events(events: DataFrame, root: str) -> None:
+    """Append events that belong to no micro-batch."""
+    write_event_batch(events, None, root, "bulk")
 
 
-def write_event_batch(events: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch so that a replay of the same batch replaces it."""
-    # The whole folder of the batch is replaced, so a replay with fewer rows leaves none behind.
-    stored_form(events).write.mode("overwrite").partitionBy(DAY).parquet(
-        f"{path}/batch_id={batch_id}")
-
-
-def overwrite_partitions(df: DataFrame, keys: list[str], path: str) -> None:
-    """Replace only the partitions present in ``df``."""
-    (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys).parquet(path)
-    )
+def write_event_batch(
+    events: DataFrame, batch_id: int | None, root: str, source: str = "ingest"
+) -> None:
+    """Write one micro-batch; a replay of the same batch replaces it."""
+    batch = Batch(events.sparkSession, root, source, batch_id)
+    batch.write(TABLE, stored_form(events), DAY)
+    batch.commit()
 
 
 def read_events(
     spark: SparkSession,
-    path: str,
+    root: str,
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """Events of a closed time range; days outside the range are never opened.
+    """Events of a closed time range; folders of days outside the range are not even listed.
 
-    ``batch_id`` is NULL for events that were appended in bulk.
+    ``batch_id`` is NULL for events that were appended in bulk or compacted.
     """
-    events = spark.read.schema(f"{EVENTS}, batch_id BIGINT, {DAY} DATE").parquet(path)
+    events = read_table(
+        spark, root, TABLE, f"{EVENTS}, {DAY} DATE",
+        start.date() if start else None, end.date() if end else None).drop("source")
     if start is not None:
         events = events.where((F.col(DAY) >= F.lit(start.date())) & (F.col("timestamp") >= F.lit(start)))
     if end is not None:
@@ -88,89 +90,64 @@ def kept_rows(table: DataFrame, column: str, name: str, as_of: datetime) -> Data
     return table.where(F.col(column) >= F.lit(as_of - timedelta(days=RETENTION_DAYS[name])))
 
 
-def expired_days(spark: SparkSession, path: str, name: str, as_of: datetime) -> list[date]:
-    """Days of a day-partitioned table that lie wholly before its retention."""
-    oldest = (as_of - timedelta(days=RETENTION_DAYS[name])).date()
-    return sorted({day for day, _ in day_folders(spark, path) if day < oldest})
-
-
-def day_folders(spark: SparkSession, path: str) -> list[tuple[date, object]]:
-    """Day of each partition folder of a table (event days or roll-up buckets), and the folder.
-
-    Only folder names are listed; no file is opened.
-    """
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for parent in partition_parents(spark, files, folder):
-        for status in files.listStatus(parent):
-            key, _, value = status.getPath().getName().partition("=")
-            if key in (DAY, "bucket_key") and value[:4].isdigit():
-                found.append((date.fromisoformat(value[:10]), status.getPath()))
-    return found
-
-
 def apply_retention(
-    spark: SparkSession, path: str, name: str, as_of: datetime
+    spark: SparkSession, root: str, name: str, as_of: datetime, table: str | None = None
 ) -> list[date]:
-    """Drop the expired days of a table; returns them.
+    """Drop the days of a table that lie wholly before its retention; returns them.
 
-    Whole day folders are removed, so kept files are neither read nor rewritten.
+    Readers leave them out from the moment the layout is replaced; then their folders go, and
+    kept files are neither read nor rewritten. ``name`` selects the number of days, ``table`` the
+    table, where it has another name.
     """
-    days = expired_days(spark, path, name, as_of)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for day, expired in day_folders(spark, path):
-        if day in days:
-            files.delete(expired, True)
-    return days
+    table = table or (TABLE if name == "agent_events" else name)
+    oldest = (as_of - timedelta(days=RETENTION_DAYS[name])).date()
+    expired = table_folders(spark, root, table, last=oldest - timedelta(days=1))
+    expired = [folder for folder in expired if day_of(folder)]
+    set_layout(spark, root, table, {"oldest": oldest.isoformat()})
+    for folder in expired:
+        files, where = file_system(spark, folder)
+        files.delete(where, True)
+    return sorted({day_of(folder) for folder in expired})
 
 
-def partition_parents(spark: SparkSession, files, folder) -> list:
-    """Folders that hold day folders: the table itself or its batch folders."""
-    batches = [
-        status.getPath() for status in files.listStatus(folder)
-        if status.getPath().getName().startswith("batch_id=")
-    ]
-    return batches or [folder]
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    files, where = file_system(spark, folder)
+    return files.getContentSummary(where).getLength()
 
 
 def compact_events(
-    spark: SparkSession, path: str, target: str, as_of: datetime, salt: int = 8
-) -> None:
-    """Re-lay days older than a week into ``target``: by agent and type, newest first.
-
-    Each day is spread over ``salt`` writers by session, so that one heavy day or agent is
-    not the work of one task; inside a file rows keep the segment order.
-    """
-    limit = (as_of - timedelta(days=COMPACT_AFTER_DAYS)).date()
-    old = read_events(spark, path).where(F.col(DAY) < F.lit(limit))
-    spread = F.pmod(F.xxhash64("session_id"), F.lit(salt))
-    laid = old.drop("batch_id").repartition(F.col(DAY), spread).sortWithinPartitions(
-        DAY, "agent_id", "event_type", F.desc("timestamp")
-    )
-    (
-        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd").partitionBy(DAY).parquet(target)
-    )
-
-
-def refresh_buckets(
-    table: DataFrame, build, path: str, unit: str, touched: DataFrame
-) -> None:
-    """Recompute the roll-up buckets named in ``touched`` (column ``bucket``) from the table.
+    spark: SparkSession, root: str, as_of: datetime, file_bytes: int = FILE_BYTES
+) -> list[date]:
+    """Re-lay days older than a week: by agent and type, newest first; returns the days.
 
-    ``build`` is the roll-up; only the touched buckets of ``table`` are read and only their
-    partitions of the roll-up at ``path`` are replaced.
+    All folders of a day are merged into one. A day gets a writer per ``file_bytes`` of what it
+    holds, rows being dealt by session, so a heavy day is not the work of one task and a light one
+    not many small files. Days without new folders since the last time are left alone. Readers see
+    the old folders until the layout is replaced, and the new ones from then on.
     """
-    first, last = touched.agg(F.min("bucket"), F.max("bucket")).first()
-    if first is None:
-        return
-    if DAY in table.columns:
-        table = table.where(F.col(DAY).between(F.lit(first.date()), F.lit(last.date())))
-    events = table.withColumn("_bucket", time_bucket(unit)).join(
-        touched.select(F.col("bucket").alias("_bucket")).distinct(), "_bucket", "left_semi"
-    )
-    rolled = build(events.drop("_bucket"))
-    stamp = F.date_format("bucket", "yyyy-MM-dd-HH").alias("bucket_key")
-    overwrite_partitions(rolled.select("*", stamp), ["bucket_key"], path)
+    before = (as_of - timedelta(days=COMPACT_AFTER_DAYS)).date()
+    laid = layout(spark, root, TABLE)
+    done = {day_of(folder): folder for folder in laid["folders"]}
+    fresh: dict[date, list[str]] = defaultdict(list)
+    names = set()
+    for name, folder in batch_folders(spark, root, TABLE):
+        names.add(name)
+        if day_of(folder) < before:
+            fresh[day_of(folder)].append(folder)
+    if not fresh:
+        return []
+    merged = {day: [*folders, *filter(None, [done.get(day)])] for day, folders in fresh.items()}
+    writers = {day: max(1, -(-sum(folder_bytes(spark, f) for f in folders) // file_bytes))
+               for day, folders in merged.items()}
+    rows = spark.read.schema(f"{EVENTS}, {DAY} DATE").option("basePath", f"{root}/{TABLE}").parquet(
+        *[folder for folders in merged.values() for folder in folders]).drop("try", "source", "batch_id")
+    fan = F.create_map(*[F.lit(v) for pair in writers.items() for v in pair])[F.col(DAY)]
+    spread = F.pmod(F.xxhash64("session_id", "event_id"), fan)
+    batch = Batch(spark, root, "compact")
+    batch.write(TABLE, rows.repartition(sum(writers.values()), F.col(DAY), spread)
+                .sortWithinPartitions(DAY, "agent_id", "event_type", F.desc("timestamp")), DAY)
+    done |= {day_of(folder): folder for folder in batch.tables[TABLE]}
+    set_layout(spark, root, TABLE, {
+        "folders": list(done.values()), "before": before.isoformat(),
+        "covered": sorted({*laid["covered"], *names})})
+    return sorted(fresh)

@@ -154,14 +154,6 @@ def dead_letters(bad: DataFrame) -> DataFrame:
     )
 
 
-def write_dead_letters(bad: DataFrame, batch_id: int, path: str) -> None:
-    """Keep a micro-batch's dead letters; a replay of the batch replaces them."""
-    (
-        dead_letters(bad).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    )
-
-
 def record_identity() -> Column:
     """Event id derived from the topic position, so that a retry gives the same id."""
     digest = F.sha2(F.concat_ws(":", "topic", "partition", "offset"), 256)

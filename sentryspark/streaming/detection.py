@@ -1,110 +1,116 @@
-"""Streaming detection in two queries around a table of matches.
+"""Streaming detection: one flow from topic records to alerts for all rule kinds.
 
-Events query: decode, keep dead letters, store events and sessions, match single-event rules
-and refresh roll-ups, all inside ``foreachBatch`` and keyed by batch id, so a replayed batch
-replaces what it wrote. Window and sequence rules are stateful streams of their own. Alert
-query: matches to alerts through keyed dedup and throttle state.
+Two queries read the topic. The ingest query decodes and stores: events, dead letters, sessions and
+roll-up states. The detection query finds the hits of all rules in one projection, runs them through
+keyed state (rules, dedup, throttle) and turns what is left into alerts. Each micro-batch of either
+commits all its tables at once (``sources.batches``), so a replayed batch replaces what it wrote,
+also where it has fewer rows than before.
+
+The detection query's plan holds the rules. ``keep_running`` restarts it when the rule table has changed;
+state is keyed by rule id and stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sentryspark.functions.alert_text import alert_fingerprint
-from sentryspark.functions.fields import time_bucket
+from sentryspark.functions.alert_text import alert_fingerprint, span_text
 from sentryspark.operators.alerting import NoiseLimits, enrich, suppress
-from sentryspark.operators.rollups import (
-    agent_activity_daily, agent_activity_hourly, tool_usage_hourly,
-)
 from sentryspark.operators.rules import (
-    MATCH_COLUMNS, eval_single, hits_of, of_kind, sequence_context, sequence_rows, temporal_rows,
-    with_facts,
+    KINDS, MATCH_COLUMNS, hit_facts, of_kind, sequence_context, tagged_hits,
 )
-from sentryspark.sources.alert_store import read_alerts, write_alerts
+from sentryspark.session import scratch, written
+from sentryspark.sources.alert_store import add_alerts, read_alerts
+from sentryspark.sources.batches import Batch, read_table
 from sentryspark.sources.catalog import Rule, load_rules
-from sentryspark.sources.event_store import (
-    overwrite_partitions, read_events, refresh_buckets, write_event_batch,
-)
-from sentryspark.sources.raw import decode_events, normalize_events, write_dead_letters
-from sentryspark.sources.session_store import write_session_batch
-from sentryspark.streaming.processors import Dedup, SequenceProgress, SlidingCount, Throttle
+from sentryspark.sources.event_store import DAY, TABLE, read_events, stored_form
+from sentryspark.sources.raw import dead_letters, decode_events, normalize_events
+from sentryspark.sources.rollup_store import add_states
+from sentryspark.sources.session_store import session_parts
+from sentryspark.streaming.processors import Dedup, RuleProgress, Throttle
 
 MATCH_SCHEMA = """
     rule_id STRING, severity STRING, event_id STRING, timestamp TIMESTAMP, agent_id STRING,
     agent_name STRING, session_id STRING, ms BIGINT, detail STRING, context STRING
 """
+FLOW_SCHEMA = f"{MATCH_SCHEMA}, late BOOLEAN"
+RULE_ERRORS = "rule_id STRING, name STRING, error STRING"
+# Parameter: state groups over which the hits of a single-event rule are spread.
+SINGLE_GROUPS = 64
+
+
+@dataclass(frozen=True)
+class Lateness:
+    """How far behind rows may be: to be evaluated, and to be kept as late rows."""
+
+    delay: timedelta = timedelta(minutes=10)
+    kept: timedelta = timedelta(hours=1)
+
+    @property
+    def delay_ms(self) -> int:
+        return self.delay // timedelta(milliseconds=1)
 
-# How far back each roll-up is refreshed, and the newest part it leaves out.
-REFRESH_WINDOWS = {
-    "agent_activity_hourly": (timedelta(hours=3), timedelta(minutes=5)),
-    "agent_activity_daily": (timedelta(days=3), timedelta(hours=1)),
-    "tool_usage_hourly": (timedelta(hours=3), timedelta(minutes=5)),
-}
-ROLLUPS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "agent_activity_hourly": ("hour", agent_activity_hourly),
-    "agent_activity_daily": ("day", agent_activity_daily),
-    "tool_usage_hourly": ("hour", tool_usage_hourly),
-}
-RULE_DELAY = "10 minutes"
+    @property
+    def kept_ms(self) -> int:
+        return max(self.kept, self.delay) // timedelta(milliseconds=1)
 
 
 @dataclass(frozen=True)
 class Folders:
-    """Table folders of one deployment, all below a folder the whole cluster can reach."""
+    """Tables and checkpoints of one deployment, below a folder the whole cluster can reach."""
 
     root: str
 
-    def __getattr__(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    @property
+    def checkpoints(self) -> str:
+        return f"{self.root}/checkpoints"
 
 
-def with_lateness(events: DataFrame, delay: str = RULE_DELAY) -> DataFrame:
+def with_lateness(events: DataFrame, lateness: Lateness = Lateness()) -> DataFrame:
     """Watermark on event time; zone-less times are read as UTC."""
     stamped = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return stamped.withWatermark("timestamp", delay)
-
-
-def stream_temporal(
-    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
-) -> DataFrame:
-    """Matches of the sliding-window rules, as a stream."""
-    rows = temporal_rows(hits_of(with_lateness(events), rules, members, "Temporal"), rules)
-    return rows.groupBy("rule_id", "key").transformWithState(
-        SlidingCount(), MATCH_SCHEMA, "Append", "EventTime", eventTimeColumnName="timestamp"
-    )
+    return stamped.withWatermark("timestamp", f"{lateness.kept_ms} milliseconds")
 
 
-def stream_sequence(
-    events: DataFrame, rules: list[Rule], members: DataFrame | None = None
+def stream_rules(
+    events: DataFrame, rules: list[Rule], members: DataFrame | None = None,
+    lateness: Lateness = Lateness(),
 ) -> DataFrame:
-    """Matches of the sequence rules, as a stream."""
-    rows = with_facts(
-        sequence_rows(hits_of(with_lateness(events), rules, members, "Sequence"), rules),
-        of_kind(rules, "Sequence"),
-        lambda rule: {
-            "rule_id": rule.id, "severity": rule.severity, "detail": rule.detail(),
+    """Matches of all rules as a stream; ``late`` marks hits that came too late to be evaluated."""
+    hits = hit_facts(tagged_hits(with_lateness(events, lateness), rules, members), rules, {
+        "SingleEvent": lambda rule: {"detail": rule.detail(), "context": "{}"},
+        "Temporal": lambda rule: {
+            "window_ms": rule.window_ms, "threshold": rule.threshold, "is_rate": rule.is_rate,
+            "minutes": rule.window_minutes, "span": span_text(rule.window_ms),
+        },
+        "Sequence": lambda rule: {
+            "n_steps": len(rule.steps), "span_ms": rule.span_ms, "detail": rule.detail(),
             "context": sequence_context(rule),
         },
-    )
-    return rows.groupBy("rule_id", "session_id").transformWithState(
-        SequenceProgress(), MATCH_SCHEMA, "Append", "EventTime", eventTimeColumnName="timestamp"
+    })
+    spread = F.pmod(F.xxhash64("event_id"), F.lit(SINGLE_GROUPS)).cast("string")
+    keyed = hits.withColumn("key", F.when(F.col("kind") == "SingleEvent", spread).when(
+        F.col("kind") == "Sequence", F.col("session_id")).otherwise(F.col("key")))
+    return keyed.groupBy("rule_id", "key").transformWithState(
+        RuleProgress(lateness.delay_ms, lateness.kept_ms), FLOW_SCHEMA, "Append", "EventTime",
+        eventTimeColumnName="timestamp",
     )
 
 
 def stream_dedup(matches: DataFrame, window_ms: int = NoiseLimits.dedup_ms) -> DataFrame:
-    """First match per fingerprint and window, as a stream."""
+    """First match per fingerprint and window, as a stream; late ones pass."""
     printed = matches.withColumn(
         "fingerprint",
         alert_fingerprint(F.col("rule_id"), F.col("agent_id"), F.col("severity")),
     )
     return printed.groupBy("fingerprint").transformWithState(
-        Dedup(window_ms), f"{MATCH_SCHEMA}, fingerprint STRING", "Append", "EventTime",
+        Dedup(window_ms), f"{FLOW_SCHEMA}, fingerprint STRING", "Append", "EventTime",
         eventTimeColumnName="timestamp",
     )
 
@@ -113,14 +119,23 @@ def stream_throttle(
     survivors: DataFrame,
     limit: int = NoiseLimits.throttle_limit,
     window_ms: int = NoiseLimits.throttle_ms,
+    lateness: Lateness = Lateness(),
 ) -> DataFrame:
-    """Dedup survivors within their rule's limit, as a stream."""
+    """Dedup survivors within their rule's limit, as a stream; late ones pass."""
     return survivors.groupBy("rule_id").transformWithState(
-        Throttle(limit, window_ms), survivors.schema, "Append", "EventTime",
+        Throttle(limit, window_ms, lateness.delay_ms), survivors.schema, "Append", "EventTime",
         eventTimeColumnName="timestamp",
     )
 
 
+def stream_passed(
+    matches: DataFrame, limits: NoiseLimits = NoiseLimits(), lateness: Lateness = Lateness()
+) -> DataFrame:
+    """Matches that pass dedup and throttle."""
+    return stream_throttle(stream_dedup(matches, limits.dedup_ms), limits.throttle_limit,
+                           limits.throttle_ms, lateness)
+
+
 def write_stream(
     df: DataFrame, name: str, folders: Folders, each_batch, available_now: bool
 ) -> StreamingQuery:
@@ -132,157 +147,165 @@ def write_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """Matches written so far by all sources."""
-    return spark.read.schema(f"{MATCH_SCHEMA}, source STRING, batch_id BIGINT").parquet(path)
+def read_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Matches written so far by all sources, with ``source`` and ``batch_id``."""
+    return read_table(spark, root, "matches", MATCH_SCHEMA)
+
+
+def read_late(spark: SparkSession, root: str) -> DataFrame:
+    """Hits that came too late for their rules."""
+    return read_table(spark, root, "late_events", MATCH_SCHEMA)
 
 
-def write_matches(matches: DataFrame, source: str, batch_id: int, path: str) -> None:
+def write_matches(matches: DataFrame, source: str, batch_id: int, root: str) -> None:
     """Write one batch of matches of one source; a replay of the batch replaces it."""
-    named = matches.select(
-        *MATCH_COLUMNS, F.lit(source).alias("source"), F.lit(batch_id).alias("batch_id"))
-    overwrite_partitions(named, ["source", "batch_id"], path)
+    batch = Batch(matches.sparkSession, root, source, batch_id)
+    batch.write("matches", matches.select(*MATCH_COLUMNS))
+    batch.commit()
 
 
-def touched_buckets(
-    events: DataFrame, name: str, unit: str, as_of: datetime | None = None
-) -> DataFrame:
-    """Buckets of a roll-up that ``events`` fall into; with ``as_of``, only those in the
-    roll-up's refresh window."""
-    buckets = events.select(time_bucket(unit).alias("bucket")).distinct()
-    if as_of is None:
-        return buckets
-    back, newest = REFRESH_WINDOWS[name]
-    return buckets.where(F.col("bucket").between(F.lit(as_of - back), F.lit(as_of - newest)))
+def ingest_batch(records: DataFrame, batch_id: int, folders: Folders) -> None:
+    """One micro-batch of topic records: events, dead letters, sessions, roll-up states."""
+    spark = records.sparkSession
+    batch = Batch(spark, folders.root, "ingest", batch_id)
+    kept, bad = decode_events(records)
+    batch.write("dead_letters", dead_letters(bad))
+    # Records are parsed once: everything after reads the batch's events back.
+    events = batch.write(TABLE, stored_form(normalize_events(kept)), DAY)
+    batch.write("sessions", session_parts(events))
+    add_states(batch, events)
+    batch.commit()
 
 
-def refresh_rollups(
-    stored: DataFrame, batch: DataFrame, folders: Folders, as_of: datetime | None = None
-) -> None:
-    """Recompute the touched buckets of every roll-up from the stored events."""
-    for name, (unit, build) in ROLLUPS.items():
-        touched = touched_buckets(batch, name, unit, as_of)
-        refresh_buckets(stored, build, f"{folders.rollups}/{name}", unit, touched)
+def start_ingest(
+    records: DataFrame, folders: Folders, available_now: bool = False
+) -> StreamingQuery:
+    """Start the ingest query on topic records."""
 
+    def each_batch(frame: DataFrame, batch_id: int) -> None:
+        ingest_batch(frame, batch_id, folders)
 
-def split_late(
-    batch: DataFrame, batch_id: int, folders: Folders, delay: timedelta
-) -> tuple[DataFrame, DataFrame]:
-    """Rows on time and rows older than the watermark of the batches before.
+    return write_stream(records, "ingest", folders, each_batch, available_now)
 
-    The highest event time of each batch is kept in a small table, so that a restarted query
-    knows the watermark and a replayed batch sees the one it saw before.
-    """
-    spark = batch.sparkSession
-    high = batch.agg(F.max("timestamp").alias("high")).withColumn("batch_id", F.lit(batch_id))
-    overwrite_partitions(high, ["batch_id"], folders.progress)
-    marks = spark.read.schema("high TIMESTAMP, batch_id BIGINT").parquet(folders.progress)
-    before = marks.where(F.col("batch_id") < batch_id).agg(F.max("high")).first()[0]
-    if before is None:
-        return batch, batch.limit(0)
-    limit = F.lit(before - delay)
-    return batch.where(F.col("timestamp") >= limit), batch.where(F.col("timestamp") < limit)
-
-
-def ingest_batch(
-    records: DataFrame,
-    batch_id: int,
-    folders: Folders,
-    read_rules: Callable[[], DataFrame],
-    members: DataFrame | None = None,
-    delay: timedelta = timedelta(minutes=10),
+
+def alert_batch(
+    passed: DataFrame, batch_id: int, folders: Folders, rules: DataFrame, events: DataFrame,
+    suppressions: DataFrame, errors: DataFrame | None = None,
 ) -> None:
-    """One micro-batch of topic records: store, count sessions, match, refresh.
+    """One micro-batch of matches behind dedup and throttle: alerts, links, outbox, marks, late rows.
 
-    Rules are read anew for every batch, which is how changed rules take effect. Late rows
-    are stored as events but noted aside and not evaluated.
+    Alerts of earlier batches count as history; alerts of this batch's first try do not.
     """
-    spark = records.sparkSession
-    kept, bad = decode_events(records)
-    write_dead_letters(bad, batch_id, folders.dead_letters)
-    # Records are parsed once: everything after reads the batch back from the event table.
-    write_event_batch(normalize_events(kept), batch_id, folders.events)
-    stored = read_events(spark, folders.events)
-    batch = stored.where(F.col("batch_id") == batch_id)
-    write_session_batch(batch, batch_id, folders.sessions)
-    on_time, late = split_late(batch, batch_id, folders, delay)
-    overwrite_partitions(
-        late.drop("event_date"), ["batch_id"], folders.late_events)
-    rules, errors = load_rules(read_rules())
-    overwrite_partitions(
-        errors.withColumn("batch_id", F.lit(batch_id)), ["batch_id"], folders.rule_errors)
-    write_matches(eval_single(on_time, rules, members), "single", batch_id, folders.matches)
-    refresh_rollups(stored, batch, folders)
+    spark = passed.sparkSession
+    batch = Batch(spark, folders.root, "detection", batch_id)
+    with scratch(spark):
+        # The stream's state may run once only, so its rows are written before anything reads them.
+        rows = written(passed.select(*MATCH_COLUMNS, "late"), "passed")
+        found = rows.where("NOT late").drop("late")
+        batch.write("matches", found)
+        batch.write("late_events", rows.where("late").drop("late"))
+        if errors is not None:
+            batch.write("rule_errors", errors)
+        history = None if batch_id == 0 else read_alerts(spark, folders.root, batch_id).select(
+            "agent_id", "triggered_at")
+        add_alerts(batch, enrich(suppress(found, suppressions), rules, events, history))
+    batch.commit()
 
 
-def start_ingest(
-    records: DataFrame,
-    folders: Folders,
+def start_alerts(
+    matches: DataFrame,
+    events_table: Callable[[], DataFrame],
     read_rules: Callable[[], DataFrame],
-    members: DataFrame | None = None,
+    suppressions: Callable[[], DataFrame],
+    folders: Folders,
+    limits: NoiseLimits = NoiseLimits(),
+    lateness: Lateness = Lateness(),
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Start the events query on topic records."""
+    """Start dedup, throttle, suppression and enrichment on a stream of matches."""
+    marked = with_lateness(matches, lateness).withColumn("late", F.lit(False))
 
     def each_batch(frame: DataFrame, batch_id: int) -> None:
-        ingest_batch(frame, batch_id, folders, read_rules, members)
+        alert_batch(frame, batch_id, folders, read_rules(), events_table(), suppressions())
 
-    return write_stream(records, "ingest", folders, each_batch, available_now)
+    return write_stream(
+        stream_passed(marked, limits, lateness), "alerts", folders, each_batch, available_now)
 
 
-def start_stateful_rules(
+def start_detection(
     events: DataFrame,
-    rules: list[Rule],
+    events_table: Callable[[], DataFrame],
+    read_rules: Callable[[], DataFrame],
+    suppressions: Callable[[], DataFrame],
     folders: Folders,
     members: DataFrame | None = None,
+    limits: NoiseLimits = NoiseLimits(),
+    lateness: Lateness = Lateness(),
     available_now: bool = False,
-) -> list[StreamingQuery]:
-    """Start the window and the sequence query on a stream of canonical events.
+) -> StreamingQuery:
+    """Start the detection query on a stream of canonical events, with the rules as they are now."""
+    rules, errors = load_rules(read_rules())
+    passed = stream_passed(stream_rules(events, rules, members, lateness), limits, lateness)
 
-    State is keyed by rule id, so a restart with changed rules keeps the state of the rest.
-    """
-    started = []
-    for name, stream in (("temporal", stream_temporal), ("sequence", stream_sequence)):
-        def each_batch(frame: DataFrame, batch_id: int, source: str = name) -> None:
-            write_matches(frame, source, batch_id, folders.matches)
+    def each_batch(frame: DataFrame, batch_id: int) -> None:
+        alert_batch(
+            frame, batch_id, folders, read_rules(), events_table(), suppressions(), errors)
 
-        matches = stream(events, rules, members)
-        started.append(write_stream(matches, name, folders, each_batch, available_now))
-    return started
+    return write_stream(passed, "detection", folders, each_batch, available_now)
 
 
-def start_alerts(
-    matches: DataFrame,
-    events_table: Callable[[], DataFrame],
+def events_of_records(records: DataFrame) -> DataFrame:
+    """Canonical events of a stream of topic records; dead letters are the ingest query's."""
+    kept, _ = decode_events(records)
+    return normalize_events(kept)
+
+
+def start_flow(
+    records: DataFrame,
+    folders: Folders,
     read_rules: Callable[[], DataFrame],
     suppressions: Callable[[], DataFrame],
-    folders: Folders,
+    members: DataFrame | None = None,
     limits: NoiseLimits = NoiseLimits(),
+    lateness: Lateness = Lateness(),
     available_now: bool = False,
-) -> StreamingQuery:
-    """Start the alert query on a stream of matches: dedup, throttle, suppress, enrich, write.
+) -> list[StreamingQuery]:
+    """Start the whole flow on topic records: the ingest and the detection query.
 
-    Tables are read anew for every batch; alerts of earlier batches count as history.
+    Enrichment reads the committed events, so it sees what ingest has stored by then.
     """
-    thinned = stream_throttle(
-        stream_dedup(with_lateness(matches), limits.dedup_ms),
-        limits.throttle_limit, limits.throttle_ms,
-    )
+    spark = records.sparkSession
+    return [
+        start_ingest(records, folders, available_now),
+        start_detection(
+            events_of_records(records), lambda: read_events(spark, folders.root), read_rules,
+            suppressions, folders, members, limits, lateness, available_now),
+    ]
 
-    def each_batch(frame: DataFrame, batch_id: int) -> None:
-        spark = frame.sparkSession
-        passed = suppress(frame, suppressions())
-        history = earlier_alerts(spark, folders, batch_id)
-        enriched = enrich(passed, read_rules(), events_table(), history)
-        write_alerts(enriched, batch_id, folders.alerting)
-
-    return write_stream(thinned, "alerts", folders, each_batch, available_now)
-
-
-def earlier_alerts(spark: SparkSession, folders: Folders, batch_id: int) -> DataFrame | None:
-    """Alerts of the batches before this one; None at the first batch."""
-    if batch_id == 0:
-        return None
-    return read_alerts(spark, folders.alerting).where(
-        F.col("batch_id") < batch_id
-    ).select("agent_id", "triggered_at")
+
+def rules_version(rules: DataFrame) -> tuple:
+    """A value that changes with the rule table's rows."""
+    return tuple(rules.agg(F.count("*"), F.sum(F.xxhash64(*rules.columns).cast("decimal(38,0)"))).first())
+
+
+def keep_running(
+    start: Callable[[], StreamingQuery],
+    read_rules: Callable[[], DataFrame],
+    stopped: Callable[[], bool],
+    poll_seconds: int = 5,
+) -> int:
+    """Run a query that ``start`` builds with the current rules; restart it when they have changed.
+
+    A batch that the restart interrupts is run again with the new rules. Returns the number of
+    starts; an error of the query is raised.
+    """
+    version, query, starts = rules_version(read_rules()), start(), 1
+    while not stopped():
+        if query.awaitTermination(poll_seconds):
+            return starts
+        current = rules_version(read_rules())
+        if current != version:
+            query.stop()
+            version, query, starts = current, start(), starts + 1
+    query.stop()
+    return starts

@@ -8,15 +8,13 @@ event-time timers once the watermark has passed its expiry.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# How late rows may be, as in the watermark of the rule streams.
-DELAY_MS = 10 * 60 * 1000
-
-
 def in_order(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda row: (row["ms"], row["event_id"]))
 
@@ -51,55 +49,69 @@ class ExpiringProcessor(StatefulProcessor):
         pass
 
 
-class SlidingCount(ExpiringProcessor):
-    """Count per (rule, key) over the rule's window; emits the rows that reach the threshold.
+class RuleProgress(ExpiringProcessor):
+    """State of one (rule, key) of any kind; emits the rows that fire and, aside, those too late.
 
-    The state is one (ms, count) pair per distinct millisecond of the window.
+    Rows are evaluated while they are at most ``delay_ms`` behind the highest event time of the
+    batches before. The stream's watermark lags by ``kept_ms``, so rows between the two limits still get
+    here and are passed on marked as late; state is left alone by them. A window rule's state is
+    one (ms, count) pair per distinct millisecond of its window, a sequence rule's its step and expiry; a
+    single-event rule has none.
     """
 
+    def __init__(self, delay_ms: int, kept_ms: int):
+        self.delay_ms, self.kept_ms = delay_ms, kept_ms
+
     def open_state(self, handle):
         self.moments = handle.getListState("moments", "ms BIGINT, n INT")
+        self.progress = handle.getValueState("progress", "step INT, expiry BIGINT")
 
     def clear_state(self):
         self.moments.clear()
+        self.progress.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times = [m for m, n in self.moments.get() for _ in range(n)]
-        times.sort()
-        window, latest = 0, 0
+        watermark = timerValues.getCurrentWatermarkInMs()
+        since = watermark + self.kept_ms - self.delay_ms if watermark > 0 else None
+        in_time = []
         for row in in_order(rows):
-            window, now = row["window_ms"], row["ms"]
-            times.insert(bisect_right(times, now), now)
-            count = bisect_right(times, now) - bisect_right(times, now - window)
-            latest = max(latest, times[-1])
+            if since is not None and row["ms"] < since:
+                yield matched(row, row["detail"], row["context"], late=True)
+            else:
+                in_time.append(row)
+        if in_time:
+            run = {"Temporal": self.count, "Sequence": self.advance}.get(in_time[0]["kind"], self.fire)
+            yield from run(in_time, since)
+
+    def fire(self, rows, since) -> Iterator[Row]:
+        for row in rows:
+            yield matched(row, row["detail"], row["context"])
+
+    def count(self, rows, since) -> Iterator[Row]:
+        held = sorted((m, n) for m, n in self.moments.get())
+        added = Counter(row["ms"] for row in rows)
+        merged = Counter(dict(held)) + added
+        moments = sorted(merged)
+        totals = dict(zip(moments, accumulate(merged[m] for m in moments)))
+        # Rows of a millisecond count one after the other, after those held before the batch.
+        seen = Counter(dict(held))
+        window = rows[0]["window_ms"]
+        for row in rows:
+            now = row["ms"]
+            seen[now] += 1
+            out = bisect_right(moments, now - window)
+            count = totals[now] - merged[now] + seen[now] - (totals[moments[out - 1]] if out else 0)
             measure = rate(count, row["minutes"]) if row["is_rate"] else float(count)
             if measure >= row["threshold"]:
-                yield matched(row, f"{count} events in {row['span']}",
-                              '{"window_count":%d}' % count)
-        self.keep(times, latest, window, timerValues)
+                yield matched(row, f"{count} events in {row['span']}", '{"window_count":%d}' % count)
+        # Rows may still arrive back to the limit; without one, back to the allowed delay.
+        oldest = (moments[-1] - self.delay_ms if since is None else since) - window
+        self.moments.put([(m, merged[m]) for m in moments[bisect_right(moments, oldest):]])
+        self.keep_until(moments[-1] + window)
 
-    def keep(self, times, latest, window, timerValues) -> None:
-        # Rows may still arrive back to the watermark; without one, back to the allowed delay.
-        since = max(timerValues.getCurrentWatermarkInMs(), 0) or latest - DELAY_MS
-        counts: dict[int, int] = {}
-        for moment in times[bisect_right(times, since - window):]:
-            counts[moment] = counts.get(moment, 0) + 1
-        self.moments.put(list(counts.items()))
-        self.keep_until(latest + window)
-
-
-class SequenceProgress(ExpiringProcessor):
-    """Step and expiry per (rule, session); emits the rows that complete the sequence."""
-
-    def open_state(self, handle):
-        self.progress = handle.getValueState("progress", "step INT, expiry BIGINT")
-
-    def clear_state(self):
-        self.progress.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def advance(self, rows, since) -> Iterator[Row]:
         step, expiry = self.progress.get() if self.progress.exists() else (0, 0)
-        for row in in_order(rows):
+        for row in rows:
             if step and row["ms"] >= expiry:
                 step = 0
             if step not in row["steps"]:
@@ -130,7 +142,9 @@ class Dedup(ExpiringProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = self.accepted.get()[0] if self.accepted.exists() else None
         for row in in_order(rows):
-            if last is None or row["ms"] >= last + self.window_ms:
+            if row["late"]:
+                yield row
+            elif last is None or row["ms"] >= last + self.window_ms:
                 last = row["ms"]
                 yield row
         if last is not None:
@@ -141,8 +155,8 @@ class Dedup(ExpiringProcessor):
 class Throttle(ExpiringProcessor):
     """Distinct milliseconds per rule in the window; passes rows up to the limit."""
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+    def __init__(self, limit: int, window_ms: int, delay_ms: int):
+        self.limit, self.window_ms, self.delay_ms = limit, window_ms, delay_ms
 
     def open_state(self, handle):
         self.moments = handle.getListState("moments", "ms BIGINT")
@@ -151,17 +165,26 @@ class Throttle(ExpiringProcessor):
         self.moments.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times = sorted({row[0] for row in self.moments.get()})
+        in_time = []
         for row in in_order(rows):
+            if row["late"]:
+                yield row
+            else:
+                in_time.append(row)
+        if not in_time:
+            return
+        # Rows come in time order, so one that came before does not see a later one of the batch.
+        times = sorted({row[0] for row in self.moments.get()})
+        for row in in_time:
             now = row["ms"]
             at = bisect_right(times, now)
             if at == 0 or times[at - 1] != now:
                 times.insert(at, now)
-            count = bisect_right(times, now) - bisect_right(times, now - self.window_ms)
-            if count <= self.limit:
+                at += 1
+            if at - bisect_right(times, now - self.window_ms) <= self.limit:
                 yield row
-        since = max(timerValues.getCurrentWatermarkInMs(), 0) or times[-1] - DELAY_MS
-        self.moments.put([(m,) for m in times[bisect_right(times, since - self.window_ms):]])
+        oldest = times[-1] - self.delay_ms - self.window_ms
+        self.moments.put([(m,) for m in times[bisect_right(times, oldest):]])
         self.keep_until(times[-1] + self.window_ms)
 
 
@@ -172,10 +195,10 @@ def rate(count: int, minutes: float) -> float:
     return float("inf") if count else float("-inf")
 
 
-def matched(row: Row, detail: str, context: str) -> Row:
-    """The match of one event, in the columns of ``MATCH_COLUMNS``."""
+def matched(row: Row, detail: str, context: str, late: bool = False) -> Row:
+    """The match of one event, in the columns of ``MATCH_COLUMNS``, and whether it is late."""
     return Row(
         rule_id=row["rule_id"], severity=row["severity"], event_id=row["event_id"],
         timestamp=row["timestamp"], agent_id=row["agent_id"], agent_name=row["agent_name"],
-        session_id=row["session_id"], ms=row["ms"], detail=detail, context=context,
+        session_id=row["session_id"], ms=row["ms"], detail=detail, context=context, late=late,
     )

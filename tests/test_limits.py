@@ -8,7 +8,11 @@ from sentryspark.functions.json_containment import json_contains
 from sentryspark.operators.rules import evaluate
 from sentryspark.operators.search import last_hours
 from sentryspark.sources.catalog import load_rules
-from sentryspark.sources.event_store import apply_retention, read_events, write_event_batch
+from sentryspark.sources.batches import Batch, vacuum
+from sentryspark.sources.event_store import (
+    apply_retention, read_events, stored_form, write_event_batch,
+)
+from sentryspark.sources.rollup_store import add_states, merged
 
 START = datetime(2024, 1, 1)
 RULE = ("id STRING, name STRING, description STRING, enabled BOOLEAN, severity STRING, "
@@ -57,9 +61,44 @@ def test_replay_with_fewer_rows_replaces_the_batch(spark, make_events, tmp_path)
     assert [row.event_id for row in read_events(spark, path).collect()] == ["e0000"]
 
 
-def test_retention_drops_old_roll_up_buckets(spark, tmp_path):
-    path = str(tmp_path / "daily")
-    rows = spark.createDataFrame([("2020-01-01-00", 1), ("2024-01-01-00", 2)], "bucket_key STRING, n INT")
-    rows.write.partitionBy("bucket_key").parquet(path)
-    apply_retention(spark, path, "agent_activity_daily", START)
-    assert [row.n for row in spark.read.parquet(path).collect()] == [2]
+def test_replay_with_no_rows_leaves_none(spark, make_events, tmp_path):
+    path = str(tmp_path)
+    write_event_batch(make_events({"at": 1}, {"at": 90_000}), 7, path)
+    write_event_batch(make_events({"at": 5}), 8, path)
+    write_event_batch(make_events({"at": 1}).where("false"), 7, path)
+    assert [row.batch_id for row in read_events(spark, path).collect()] == [8]
+
+
+def test_uncommitted_batches_are_invisible(spark, make_events, tmp_path):
+    path = str(tmp_path)
+    write_event_batch(make_events({"at": 1}), 0, path)
+    Batch(spark, path, "ingest", 1).write("events", stored_form(make_events({"at": 2})), "event_date")
+    assert read_events(spark, path).count() == 1
+    assert len(vacuum(spark, path, "events")) == 1
+    assert read_events(spark, path).count() == 1
+
+
+def test_retention_drops_old_days(spark, make_events, tmp_path):
+    path = str(tmp_path)
+    write_event_batch(make_events({"at": 0}, {"at": 86_400}, {"at": 86_400 * 5}), 0, path)
+    as_of = START + timedelta(days=92)
+    assert apply_retention(spark, path, "agent_events", as_of) == [START.date(), START.date() + timedelta(days=1)]
+    assert read_events(spark, path).count() == 1
+    assert apply_retention(spark, path, "agent_events", as_of) == []
+
+
+def test_retention_drops_old_roll_up_buckets(spark, make_events, tmp_path):
+    path = str(tmp_path)
+    batch = Batch(spark, path, "ingest", 0)
+    add_states(batch, make_events({"at": -86_400 * 1_200}, {"at": 0}))
+    batch.commit()
+    apply_retention(spark, path, "agent_activity_daily", START, "activity_states")
+    assert [row.bucket for row in merged(spark, path, "agent_activity_daily").collect()] == [START]
+
+
+def test_reads_of_some_days_open_no_other_folder(spark, make_events, tmp_path):
+    path = str(tmp_path)
+    for batch_id in range(3):
+        write_event_batch(make_events({"at": 86_400 * batch_id}, {"at": 86_400 * 9}), batch_id, path)
+    files = read_events(spark, path, START + timedelta(days=1), START + timedelta(days=2)).inputFiles()
+    assert len(files) == 2 and all("2024-01-02" in f or "2024-01-03" in f for f in files)

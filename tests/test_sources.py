@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 from conftest import START
 from sentryspark.functions.normalize import EVENT_TYPE_ALIASES, normalize_event_type
-from sentryspark.operators.rollups import agent_activity_hourly
+from sentryspark.operators.rollups import (
+    agent_activity_daily, agent_activity_hourly, tool_usage_hourly,
+)
 from sentryspark.operators.search import newest_first, paged, search_events
 from sentryspark.operators.sessions import sessions
 from sentryspark.plans.risk import agent_risk_summary
 from sentryspark.schema import ALERTS, LIST_MEMBERS, LISTS
 from sentryspark.sources.catalog import list_summary, load_lists
+from sentryspark.sources.batches import Batch, day_of, table_folders, vacuum
 from sentryspark.sources.event_store import (
-    apply_retention, compact_events, read_events, refresh_buckets, write_event_batch, write_events,
+    apply_retention, compact_events, read_events, write_event_batch, write_events,
 )
 from sentryspark.sources.raw import (
-    decode_events, dead_letters, normalize_events, records_from_text, write_dead_letters,
+    decode_events, dead_letters, normalize_events, records_from_text,
+)
+from sentryspark.sources.rollup_store import (
+    add_states, merged, read_rollup, refresh, refresh_window,
 )
 from sentryspark.sources.session_store import read_sessions, write_session_batch
-from sentryspark.streaming.detection import split_late, Folders, touched_buckets
 
 BAD = ["not json", "null", "[1]", '{"inputTokens":"12"}', '{"inputTokens":12.0}',
        '{"eventId":null}', '{"timestamp":"yesterday"}', '{"toolName":5}', '{"extra":[1]}',
@@ -31,7 +36,7 @@ def decoded(spark, lines):
     return decode_events(records_from_text(spark.createDataFrame([(t,) for t in lines], "value STRING")))
 
 
-def test_wrong_messages_become_dead_letters(spark, tmp_path):
+def test_wrong_messages_become_dead_letters(spark):
     kept, bad = decoded(spark, BAD + ['{"AGENTID":"x"}'])
     assert kept.count() == 1
     rows = dead_letters(bad).collect()
@@ -42,9 +47,6 @@ def test_wrong_messages_become_dead_letters(spark, tmp_path):
     assert kinds["null"]["x-error-type"] == "InvalidOperationException"
     assert kinds["[1]"]["x-retry-count"] == "0"
     assert all(len(k["x-error-message"]) <= 500 for k in kinds.values())
-    for _ in range(2):
-        write_dead_letters(bad, 3, f"{tmp_path}/dead")
-    assert spark.read.parquet(f"{tmp_path}/dead").count() == len(BAD)
 
 
 def test_original_headers_are_kept(spark):
@@ -98,27 +100,83 @@ def test_retention_drops_whole_days_only(spark, make_events, tmp_path):
     assert read_events(spark, path).count() == 2
 
 
-def test_compaction_keeps_rows(spark, make_events, tmp_path):
-    path, target = f"{tmp_path}/events", f"{tmp_path}/compact"
+def test_compaction_swaps_and_merges(spark, make_events, tmp_path):
+    root = str(tmp_path)
     rows = [{"at": 3600 * h, "session_id": f"s{h}", "agent_id": f"a{h % 2}"} for h in range(60)]
-    write_events(make_events(*rows), path)
-    compact_events(spark, path, target, START + timedelta(days=9), salt=2)
-    got = spark.read.parquet(target)
-    assert got.count() == 48 and got.select("event_id").distinct().count() == 48
-
-
-def test_refresh_touches_only_named_buckets(spark, make_events, tmp_path):
-    path = f"{tmp_path}/hourly"
-    events = make_events({"at": 10}, {"at": 20}, {"at": 3700})
-    every = touched_buckets(events, "agent_activity_hourly", "hour")
-    refresh_buckets(events, agent_activity_hourly, path, "hour", every)
-    more = events.union(make_events({"at": 30, "event_id": "x"}, {"at": 3800, "event_id": "y"}))
-    one = every.where(F.col("bucket") == F.lit(START))
-    refresh_buckets(more, agent_activity_hourly, path, "hour", one)
-    got = spark.read.parquet(path).orderBy("bucket").collect()
-    assert [r["event_count"] for r in got] == [3, 1]
-    recent = touched_buckets(events, "agent_activity_hourly", "hour", START + timedelta(hours=3, minutes=30))
-    assert [r["bucket"] for r in recent.collect()] == [START + timedelta(hours=1)]
+    as_of = START + timedelta(days=9)
+    ids = lambda: sorted(r.event_id for r in read_events(spark, root).collect())
+    for batch_id in range(3):
+        write_event_batch(make_events(*rows).where(f"hash(event_id) % 3 = {batch_id - 1}"), batch_id, root)
+    write_events(make_events(*rows).where("abs(hash(event_id) % 3) = 3"), root)
+    before = ids()
+    assert len(before) == len(set(before)) > 30
+    assert compact_events(spark, root, as_of) == [START.date(), START.date() + timedelta(days=1)]
+    assert ids() == before
+    folders = [f for f in table_folders(spark, root, "events") if day_of(f) == START.date()]
+    assert len(folders) == 1 and "source=compact" in folders[0]
+    # Nothing new: nothing is written. A late batch touches its own day alone.
+    assert compact_events(spark, root, as_of) == []
+    write_event_batch(make_events({"at": 90_000, "event_id": "late"}), 7, root)
+    assert ids() == sorted([*before, "late"])
+    assert compact_events(spark, root, as_of) == [START.date() + timedelta(days=1)]
+    assert ids() == sorted([*before, "late"])
+    assert vacuum(spark, root, "events") and not vacuum(spark, root, "events")
+    assert ids() == sorted([*before, "late"])
+
+
+def test_heavy_days_get_more_files(spark, make_events, tmp_path):
+    write_events(make_events(*[{"at": i, "tool_input": f"{i}" * 50} for i in range(400)]), str(tmp_path))
+    compact_events(spark, str(tmp_path), START + timedelta(days=9), file_bytes=2_000)
+    assert len(read_events(spark, str(tmp_path)).inputFiles()) > 3
+
+
+def test_states_add_up_to_the_rollups(spark, make_events, tmp_path):
+    kinds = ["tool_invocation", "llm_call"]
+    events = make_events(*[
+        {"at": 1700 * i, "event_type": kinds[i % 2], "tool_name": [None, "x", "y"][i % 3], "agent_id": f"a{i % 2}",
+         "session_id": f"s{i % 5}", "latency_ms": [None, 3.5, 8.25, 1.0][i % 4], "input_tokens": i,
+         "output_tokens": None if i % 7 == 0 else 2} for i in range(120)])
+    root = str(tmp_path)
+    for batch_id in range(4):
+        batch = Batch(spark, root, "ingest", batch_id)
+        add_states(batch, events.where(f"pmod(hash(event_id), 4) = {batch_id}"))
+        batch.commit()
+    builds = {"agent_activity_hourly": agent_activity_hourly, "agent_activity_daily": agent_activity_daily,
+              "tool_usage_hourly": tool_usage_hourly}
+    for name, build in builds.items():
+        wanted, got = build(events), merged(spark, root, name)
+        assert rounded_rows(got.select(*wanted.columns)) == rounded_rows(wanted)
+
+
+def rounded_rows(frame):
+    return sorted(str([round(v, 9) if isinstance(v, float) else v for v in row]) for row in frame.collect())
+
+
+def test_refresh_takes_the_buckets_of_its_window(spark, make_events, tmp_path):
+    root = str(tmp_path)
+    assert refresh_window("agent_activity_hourly", START + timedelta(hours=5, minutes=4)) == (
+        START + timedelta(hours=3), START + timedelta(hours=4))
+    assert refresh_window("agent_activity_hourly", START + timedelta(hours=5, minutes=5)) == (
+        START + timedelta(hours=3), START + timedelta(hours=5))
+    assert refresh_window("agent_activity_daily", START + timedelta(days=4)) == (
+        START + timedelta(days=1), START + timedelta(days=3))
+
+    def ingest(batch_id, *rows):
+        batch = Batch(spark, root, "ingest", batch_id)
+        add_states(batch, make_events(*rows))
+        batch.commit()
+
+    counts = lambda: {r.bucket.hour: r.event_count for r in read_rollup(
+        spark, root, "agent_activity_hourly").collect()}
+    ingest(0, {"at": 10}, {"at": 3700}, {"at": 7300})
+    refresh(spark, root, "agent_activity_hourly", START + timedelta(hours=2, minutes=10))
+    assert counts() == {0: 1, 1: 1}
+    # Late events of hours inside the next window count, older ones no more.
+    ingest(1, {"at": 20, "event_id": "x"}, {"at": 3800, "event_id": "y"})
+    refresh(spark, root, "agent_activity_hourly", START + timedelta(hours=4, minutes=10))
+    assert counts() == {0: 1, 1: 1, 2: 1}
+    refresh(spark, root, "agent_activity_hourly", START + timedelta(hours=3, minutes=59))
+    assert counts() == {0: 1, 1: 2, 2: 1}
 
 
 def test_session_partials_merge(spark, make_events, tmp_path):
@@ -134,15 +192,6 @@ def test_session_partials_merge(spark, make_events, tmp_path):
     assert (whole["started_at"], whole["event_count"]) == (START + timedelta(seconds=5), 2)
 
 
-def test_late_rows_are_split_off(spark, make_events, tmp_path):
-    folders = Folders(str(tmp_path))
-    delay = timedelta(minutes=10)
-    early, _ = split_late(make_events({"at": 3600}), 0, folders, delay)
-    assert early.count() == 1
-    on_time, late = split_late(make_events({"at": 2900}, {"at": 3100}), 1, folders, delay)
-    assert (on_time.count(), late.count()) == (1, 1)
-
-
 def test_lists(spark):
     now = START
     lists = spark.createDataFrame([("l1", "b", "", True, now, now), ("l2", "a", "", False, now, now),

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from conftest import START
 from sentryspark.operators.alerting import NoiseLimits
 from sentryspark.operators.rollups import agent_activity_daily
-from sentryspark.operators.rules import MATCH_COLUMNS, eval_single, evaluate
+from sentryspark.operators.rules import MATCH_COLUMNS, evaluate
+from sentryspark.operators.sessions import session_alert_rollup, sessions
 from sentryspark.plans.detection import run_detection
 from sentryspark.schema import RULES, SUPPRESSIONS
-from sentryspark.sources.alert_store import read_alerts
+from sentryspark.sources.alert_store import read_alerts, read_links, read_outbox
+from sentryspark.sources.batches import read_table
 from sentryspark.sources.catalog import load_rules
 from sentryspark.sources.event_store import read_events
 from sentryspark.sources.raw import records_from_text
-from sentryspark.sources.session_store import read_sessions
+from sentryspark.sources.rollup_store import merged
+from sentryspark.sources.session_store import read_marked_sessions, read_sessions
 from sentryspark.streaming.detection import (
-    MATCH_SCHEMA, Folders, read_matches, start_alerts, start_ingest, start_stateful_rules,
+    MATCH_SCHEMA, RULE_ERRORS, Folders, Lateness, alert_batch, ingest_batch, keep_running,
+    read_late, read_matches, start_alerts, start_detection, start_flow, stream_rules, write_matches,
+    write_stream,
 )
 from test_detection import TOOL, rule, window
 
@@ -31,7 +36,7 @@ LIMITS = NoiseLimits(dedup_ms=120_000, throttle_limit=3, throttle_ms=600_000)
 def catalog(spark):
     return spark.createDataFrame([
         rule("one", condition={**TOOL, "value": "a"}),
-        rule("many", "Temporal", window(90, 3), condition={**TOOL, "value": "a"}),
+        rule("many", "Temporal", window(400, 3), condition={**TOOL, "value": "a"}),
         rule("chain", "Sequence", steps=["a", "b", "c"], span=60),
     ], RULES)
 
@@ -56,18 +61,23 @@ def same_rows(left, right):
     return sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
 
 
-def test_stateful_rules(spark, mixed, catalog, tmp_path):
+def no_suppressions(spark):
+    return spark.createDataFrame([], SUPPRESSIONS)
+
+
+def test_all_rule_kinds_in_one_query(spark, mixed, catalog, tmp_path):
     rules, _ = load_rules(catalog)
     as_files(mixed, f"{tmp_path}/in", lambda f, p: f.write.parquet(p))
     stream = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1)
     folders = Folders(f"{tmp_path}/out")
-    for query in start_stateful_rules(stream.parquet(f"{tmp_path}/in"), rules, folders,
-                                      available_now=True):
-        query.awaitTermination()
-    got = read_matches(spark, folders.matches)
+    write_stream(
+        stream_rules(stream.parquet(f"{tmp_path}/in"), rules), "rules", folders,
+        lambda frame, batch_id: write_matches(frame.where("NOT late"), "rules", batch_id, folders.root),
+        True).awaitTermination()
+    got = read_matches(spark, folders.root)
     assert got.select("batch_id").distinct().count() >= 3
-    wanted = evaluate(mixed, [r for r in rules if r.kind != "SingleEvent"])
-    assert wanted.count() > 5
+    wanted = evaluate(mixed, rules)
+    assert {r.rule_id for r in wanted.collect()} == {"one", "many", "chain"}
     assert same_rows(got.select(*MATCH_COLUMNS), wanted)
 
 
@@ -81,40 +91,156 @@ def test_alerts(spark, mixed, catalog, tmp_path):
     folders = Folders(f"{tmp_path}/out")
     start_alerts(stream.parquet(f"{tmp_path}/in"), lambda: mixed, lambda: catalog,
                  lambda: suppressions, folders, LIMITS, available_now=True).awaitTermination()
-    got = read_alerts(spark, folders.alerting)
+    got = read_alerts(spark, folders.root)
     wanted = run_detection(mixed, catalog, suppressions, limits=LIMITS).alerts
     columns = ["alert_id", "title", "detail", "triggered_at"]
     assert wanted.count() > 3
     assert same_rows(got.select(*columns), wanted.select(*columns))
-    outbox = spark.read.parquet(f"{folders.alerting}/outbox")
-    assert outbox.where("channel = 'live'").count() == wanted.count()
+    assert read_outbox(spark, folders.root).where("channel = 'live'").count() == wanted.count()
 
 
-def test_ingest_from_messages_with_reload(spark, mixed, catalog, tmp_path):
+def messages(spark, mixed, folder, parts=3):
     message = F.to_json(F.struct(
-        F.col("event_type").alias("eventType"), F.col("session_id").alias("SESSIONID"),
-        F.col("agent_id").alias("agentId"), F.col("agent_name").alias("agentName"),
+        F.col("event_id").alias("toolInput"), F.col("event_type").alias("eventType"),
+        F.col("session_id").alias("SESSIONID"), F.col("agent_id").alias("agentId"),
+        F.col("agent_name").alias("agentName"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")))
     lines = mixed.select("timestamp", message.alias("value"))
-    as_files(lines, f"{tmp_path}/in", lambda f, p: f.select("value").write.text(p), parts=2)
-    Path(f"{tmp_path}/in/part-99999.txt").write_text("broken\n" + json.dumps({"eventType": "a"}) + "\n")
-    os.utime(f"{tmp_path}/in/part-99999.txt", (1_700_009_000,) * 2)
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{tmp_path}/in")
-    folders = Folders(f"{tmp_path}/out")
-    reads = []
+    as_files(lines, folder, lambda f, p: f.select("value").write.text(p), parts=parts)
+    Path(f"{folder}/part-99999.txt").write_text("broken\n" + json.dumps({"eventType": "other"}) + "\n")
+    os.utime(f"{folder}/part-99999.txt", (1_700_009_000,) * 2)
+    return records_from_text(spark.readStream.option("maxFilesPerTrigger", 1).text(folder))
 
-    def read_rules():
-        reads.append(1)
-        return catalog
 
-    start_ingest(records_from_text(stream), folders, read_rules, available_now=True).awaitTermination()
-    assert len(reads) == 3
-    events = read_events(spark, folders.events)
+def test_flow_from_topic_to_alerts(spark, mixed, catalog, tmp_path):
+    folders = Folders(f"{tmp_path}/out")
+    broken = catalog.union(spark.createDataFrame([rule("bad", condition={"type": "?"})], RULES))
+    queries = start_flow(
+        messages(spark, mixed, f"{tmp_path}/in"), folders, lambda: broken,
+        lambda: no_suppressions(spark), limits=LIMITS, available_now=True)
+    for query in queries:
+        query.awaitTermination()
+    root = folders.root
+    events = read_events(spark, root)
     assert events.count() == mixed.count() + 1
-    assert spark.read.parquet(folders.dead_letters).count() == 1
+    assert events.select("batch_id").distinct().count() >= 3
+    assert read_table(spark, root, "dead_letters", "value BINARY").count() == 1
+    errors = read_table(spark, root, "rule_errors", RULE_ERRORS)
+    assert {row.rule_id for row in errors.collect()} == {"bad"}
+    # Topic records make their own event ids; the stored events are the ones to compare with.
+    wanted = run_detection(events, catalog, no_suppressions(spark), limits=LIMITS).alerts
+    columns = ["alert_id", "title", "detail", "triggered_at", "session_id"]
+    got = read_alerts(spark, root)
+    assert wanted.count() > 5 and {r.rule_id for r in wanted.collect()} == {"one", "many", "chain"}
+    assert same_rows(got.select(*columns), wanted.select(*columns))
+    assert read_links(spark, root).count() == wanted.count()
+    marked = session_alert_rollup(sessions(events), wanted)
+    names = ["session_id", "event_count", "has_alerts", "alert_count", "max_severity"]
+    assert same_rows(read_marked_sessions(spark, root).select(*names), marked.select(*names))
+    daily = agent_activity_daily(events)
+    assert same_rows(merged(spark, root, "agent_activity_daily").select(*daily.columns), daily)
+
+
+TABLES = {"matches": MATCH_SCHEMA, "late_events": MATCH_SCHEMA, "alerts": "alert_id STRING",
+          "alert_events": "alert_id STRING", "outbox": "alert_id STRING", "session_marks": "alert_id STRING"}
+
+
+def test_replayed_alert_batches_leave_nothing_behind(spark, mixed, catalog, tmp_path):
+    folders = Folders(str(tmp_path))
     rules, _ = load_rules(catalog)
-    assert read_matches(spark, folders.matches).count() == eval_single(mixed, rules).count() + 1
-    merged = read_sessions(spark, folders.sessions).where("session_id <> ''")
-    assert merged.agg(F.sum("event_count")).first()[0] == mixed.count()
-    daily = spark.read.parquet(f"{folders.rollups}/agent_activity_daily").drop("bucket_key")
-    assert same_rows(daily, agent_activity_daily(events).select(*daily.columns))
+    found = evaluate(mixed, rules).withColumn("late", F.col("rule_id") == "many")
+
+    def run(rows, batch_id):
+        alert_batch(rows, batch_id, folders, catalog, mixed, no_suppressions(spark))
+
+    def counts():
+        return {name: read_table(spark, str(tmp_path), name, schema).count() for name, schema in TABLES.items()}
+
+    run(found.limit(0), 0)
+    assert set(counts().values()) == {0}
+    run(found, 1)
+    many = counts()
+    assert min(many.values()) > 3 and many["matches"] + many["late_events"] == found.count()
+    run(found.where("rule_id = 'one'").limit(1), 1)
+    assert counts() == {**dict.fromkeys(TABLES, 1), "late_events": 0, "outbox": counts()["outbox"]}
+    assert 0 < counts()["outbox"] <= 4
+    run(found.limit(0), 1)
+    assert set(counts().values()) == {0}
+
+
+def test_replayed_ingest_batches_leave_nothing_behind(spark, mixed, tmp_path):
+    folders = Folders(str(tmp_path))
+    lines = mixed.select(F.to_json(F.struct(F.col("session_id").alias("sessionId"))).alias("value"))
+    for rows in (lines, lines.limit(2), lines.limit(0)):
+        ingest_batch(records_from_text(rows), 4, folders)
+        assert read_events(spark, folders.root).count() == rows.count()
+        held = read_sessions(spark, folders.root).agg(F.coalesce(F.sum("event_count"), F.lit(0))).first()[0]
+        assert held == rows.count()
+        daily = merged(spark, folders.root, "agent_activity_daily")
+        assert daily.agg(F.coalesce(F.sum("event_count"), F.lit(0))).first()[0] == rows.count()
+
+
+def put(frame, folder, number):
+    """One more file for a stream, newer than the ones before."""
+    frame.coalesce(1).write.parquet(f"{folder}/{number}")
+    for path in Path(f"{folder}/{number}").glob("part*"):
+        os.utime(path, (1_700_000_000 + 100 * number,) * 2)
+
+
+def test_rules_added_between_batches_fire_with_old_state_kept(spark, make_events, catalog, tmp_path):
+    events = make_events(*[{"at": 10 * i, "event_type": "a" if i % 2 else "b"} for i in range(8)])
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    folders = Folders(f"{tmp_path}/out")
+    old, new = catalog.where("id = 'many'"), catalog.where("id IN ('many', 'one')")
+
+    def run(rules):
+        start_detection(source.parquet(f"{tmp_path}/in/*"), lambda: events, lambda: rules,
+                        lambda: no_suppressions(spark), folders, available_now=True,
+                        limits=NoiseLimits(1, 1000, 1)).awaitTermination()
+
+    # Two of three events that the window rule counts come before the restart, one after it.
+    put(events.where("event_id < 'e0005'"), f"{tmp_path}/in", 0)
+    run(old)
+    assert read_matches(spark, folders.root).count() == 0
+    put(events.where("event_id >= 'e0005'"), f"{tmp_path}/in", 1)
+    run(new)
+    found = {(r.rule_id, r.event_id) for r in read_matches(spark, folders.root).collect()}
+    assert found == {("many", "e0005"), ("many", "e0007"), ("one", "e0005"), ("one", "e0007")}
+
+
+def test_changed_rules_restart_the_query(spark, make_events, catalog, tmp_path):
+    events = make_events(*[{"at": i, "event_type": "a"} for i in range(4)])
+    folders = Folders(f"{tmp_path}/out")
+    put(events.where("event_id < 'e0002'"), f"{tmp_path}/in", 0)
+    source = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in/*")
+    state = {"rules": catalog.where("id = 'many'"), "polls": 0}
+
+    def start():
+        return start_detection(source, lambda: events, lambda: state["rules"], lambda: no_suppressions(spark),
+                               folders, limits=NoiseLimits(1, 1000, 1))
+
+    def stopped():
+        state["polls"] += 1
+        if state["polls"] == 2:
+            state["rules"] = catalog.where("id = 'one'")
+            put(events.where("event_id >= 'e0002'"), f"{tmp_path}/in", 1)
+        return read_matches(spark, folders.root).where("rule_id = 'one'").count() > 0 or state["polls"] > 60
+
+    assert keep_running(start, lambda: state["rules"], stopped, 2) == 2
+    assert read_matches(spark, folders.root).count() > 0
+
+
+def test_late_rows_are_kept_aside(spark, make_events, catalog, tmp_path):
+    events = make_events(
+        {"at": 7200, "event_type": "a"}, {"at": 7200 - 540, "event_type": "a", "agent_id": "a2"}, {"at": 7200 - 660, "event_type": "a"},
+        {"at": 7200 - 3000, "event_type": "a"}, {"at": 7210, "event_type": "a"})
+    for number, where in enumerate(["event_id = 'e0000'", "event_id <> 'e0000'"]):
+        put(events.where(where), f"{tmp_path}/in", number)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    folders = Folders(f"{tmp_path}/out")
+    start_detection(source.parquet(f"{tmp_path}/in/*"), lambda: events, lambda: catalog.where("id = 'one'"),
+                    lambda: no_suppressions(spark), folders, available_now=True, limits=NoiseLimits(1, 1000, 1),
+                    lateness=Lateness(timedelta(minutes=10), timedelta(hours=1))).awaitTermination()
+    assert {r.event_id for r in read_late(spark, folders.root).collect()} == {"e0002", "e0003"}
+    assert {r.event_id for r in read_matches(spark, folders.root).collect()} == {"e0000", "e0001", "e0004"}
+    assert read_alerts(spark, folders.root).count() == 3
