@@ -3,8 +3,12 @@
 A sequence's cost is estimated as linear plus quadratic in the lengths of its pieces, as each piece
 attends within itself. Documents are taken in descending length and each goes to the sequence of
 the lowest cost that has tokens left for it; full sequences are cut off documents longer than one.
-Where no sequence has room for a whole piece, the piece is cut over the roomiest ones, so that all
-sequences but one per block are full.
+Where no sequence has room for a whole piece, the piece is cut over the roomiest ones. What is
+left of a block beyond full sequences goes to sequences whose sizes are powers of two, so that no
+sequence has padding.
+
+Open sequences are listed by their remaining room; a tree over the room's sizes gives the cheapest
+one with room enough, over all of them, in a step per level.
 
 Blocks are runs of documents within a task, bounded by tokens. So nothing is shuffled, memory
 is bounded whatever a source's share, and a task that is run again gives the same pieces.
@@ -44,59 +48,86 @@ def cost(length: int) -> int:
     return LINEAR * length + QUADRATIC * length * length
 
 
+class OpenSequences:
+    """Sequences with room left: the cheapest one with room for a length, and the roomiest."""
+
+    NONE = (1 << 62, -1)
+
+    def __init__(self, sizes: list[int], capacity: int):
+        self.room, self.filled = list(sizes), [0] * len(sizes)
+        self.width = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.least = [self.NONE] * (2 * self.width)
+        for number, size in enumerate(sizes):
+            self.heaps[size].append((0, number))
+        for size in set(sizes):
+            self._changed(size)
+
+    def _changed(self, room: int) -> None:
+        """The cheapest sequence of that room is another one; tell the nodes above."""
+        least, node = self.least, self.width + room
+        least[node] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while node > 1:
+            node >>= 1
+            a, b = least[2 * node], least[2 * node + 1]
+            best = a if a <= b else b
+            if least[node] == best:
+                break
+            least[node] = best
+
+    def cheapest(self, length: int) -> int | None:
+        """The sequence of the lowest cost with room for ``length``, the first of equal ones."""
+        least, node = self.least, self.width + length
+        best = least[node]
+        while node > 1:
+            if not node & 1 and least[node + 1] < best:
+                best = least[node + 1]
+            node >>= 1
+        return None if best[1] < 0 else best[1]
+
+    def roomiest(self) -> int:
+        """The cheapest of those with the most room."""
+        least, node = self.least, 1
+        while node < self.width:
+            node = 2 * node + (least[2 * node + 1][1] >= 0)
+        return least[node][1]
+
+    def put(self, number: int, length: int) -> int:
+        """Fill ``length`` tokens of a sequence that leads its list; its offset before."""
+        room, offset = self.room[number], self.filled[number]
+        paid, _ = heapq.heappop(self.heaps[room])
+        self._changed(room)
+        self.room[number], self.filled[number] = room - length, offset + length
+        if room > length:
+            heapq.heappush(self.heaps[room - length], (paid + cost(length), number))
+            self._changed(room - length)
+        return offset
+
+
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents given by their lengths."""
-    pieces, rest, sequence = [], [], 0
+    pieces, rest, full = [], [], 0
     for document, length in enumerate(lengths):
         whole = length // capacity * capacity
         for start in range(0, whole, capacity):
-            pieces.append((document, start, capacity, sequence, 0))
-            sequence += 1
+            pieces.append((document, start, capacity, full, 0))
+            full += 1
         if length > whole:
             rest.append((length - whole, document, whole))
     rest.sort(key=lambda item: (-item[0], item[1]))
     total = sum(item[0] for item in rest)
-    open_count = -(-total // capacity)
-    left = [capacity] * open_count
-    if open_count and total % capacity:
-        left[-1] = total % capacity
-    filled = [0] * open_count
-    heap = [(0, number) for number in range(open_count)]
-    roomy: list[tuple[int, int]] | None = None
-
-    def put(document: int, start: int, length: int, number: int) -> None:
-        pieces.append((document, start, length, sequence + number, filled[number]))
-        filled[number] += length
-        left[number] -= length
-
+    beyond = total % capacity
+    powers = [1 << bit for bit in reversed(range(beyond.bit_length())) if beyond >> bit & 1]
+    sequences = OpenSequences([capacity] * (total // capacity) + powers, capacity)
     for length, document, start in rest:
-        passed = []
-        while heap and length > left[heap[0][1]]:
-            passed.append(heapq.heappop(heap))
-            # The lowest costs have the most room; a longer search finds hardly any more.
-            if len(passed) == 32:
-                break
-        if heap and length <= left[heap[0][1]]:
-            paid, number = heapq.heappop(heap)
-            put(document, start, length, number)
-            if left[number]:
-                heapq.heappush(heap, (paid + cost(length), number))
-            for item in passed:
-                heapq.heappush(heap, item)
+        number = sequences.cheapest(length)
+        if number is not None:
+            pieces.append((document, start, length, full + number, sequences.put(number, length)))
             continue
-        # No room for the whole piece among the cheapest: cut it over those of most room.
-        for item in passed:
-            heapq.heappush(heap, item)
         while length:
-            taken = [heapq.heappop(heap) for _ in range(min(32, len(heap)))]
-            best = max(range(len(taken)), key=lambda k: (left[taken[k][1]], -taken[k][0]))
-            paid, number = taken.pop(best)
-            for item in taken:
-                heapq.heappush(heap, item)
-            part = min(length, left[number])
-            put(document, start, part, number)
-            if left[number]:
-                heapq.heappush(heap, (paid + cost(part), number))
+            number = sequences.roomiest()
+            part = min(length, sequences.room[number])
+            pieces.append((document, start, part, full + number, sequences.put(number, part)))
             start, length = start + part, length - part
     return pieces
 
