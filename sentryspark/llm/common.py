@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentryspark.session import new_folder
+from sentryspark.session import new_folder, written  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,13 +40,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return new_folder(spark, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and safe when executors are lost."""
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of an id written as text, modulo ``divisor``; a null id has remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(0))
