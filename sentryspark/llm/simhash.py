@@ -236,12 +236,14 @@ def keep_one(
     Rows are told apart by a number of their own, so repeated and null ids need no care.
     """
     numbered = written(
-        documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        documents.select(F.struct("*").alias("item"), F.monotonically_increasing_id().alias("row")),
+        "numbered")
     found = near_duplicates(
-        numbered.select(F.col("__row").alias("doc_id"), "text"), shingle, distance)
+        numbered.select(F.col("row").alias("doc_id"), F.col("item.text").alias("text")), shingle,
+        distance)
     gone = written(
-        found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "duplicates")
-    return numbered.join(gone, "__row", "left_anti").select(*documents.columns)
+        found.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "duplicates")
+    return numbered.join(gone, "row", "left_anti").select("item.*")
 
 
 @query("op7_simhash_near_dedup")
