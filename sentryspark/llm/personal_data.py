@@ -266,26 +266,28 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """Replace all spans in ``text`` by their kind in angle brackets; other columns stay.
 
-    ``n_chars``, where there is one, is counted anew. A span inside another gives way to it.
+    ``n_chars``, where there is one, is counted anew. A span inside another gives way to it. Texts
+    are searched once: rows and spans are written together, the classifier learns from the spans
+    and the texts are masked by them. Columns may have any names.
     """
-    marked = with_spans(documents.select(F.col("text")))
-    model = train(written(marked.select("base", "loose"), "spans"))
-    name = "__spans"
-    own = with_spans(documents.withColumnsRenamed({"base": "kept__base", "loose": "kept__loose"})
-                     if {"base", "loose"} & set(documents.columns) else documents)
+    rows = documents.select(F.struct("*").alias("item"), "text")
+    found = written(with_spans(rows).drop("text"), "spans")
     masked = (
-        f"transform(array({name}), l -> aggregate(l, named_struct('at', 0, 'out', ''), (a, s) -> "
+        "transform(array(spans), l -> aggregate(l, named_struct('at', 0, 'out', ''), (a, s) -> "
         "IF(s.start < a.at, a, named_struct('at', s.end, 'out', concat(a.out, "
-        "substring(text, a.at + 1, s.start - a.at), '<', s.kind, '>'))), "
-        "a -> concat(a.out, substring(text, a.at + 1, length(text)))))[0]"
+        "substring(item.text, a.at + 1, s.start - a.at), '<', s.kind, '>'))), "
+        "a -> concat(a.out, substring(item.text, a.at + 1, length(item.text)))))[0]"
     )
-    own = own.withColumn(name, F.expr(accepted(model))).withColumn(
-        "text", F.expr(f"IF(size({name}) = 0, text, {masked})"))
+    marked = found.selectExpr("item", f"{accepted(train(found.select('base', 'loose')))} AS spans")
+    changed = marked.selectExpr("item", f"IF(size(spans) = 0, item.text, {masked}) AS masked",
+                                "size(spans) > 0 AS is_masked")
+    values = {"text": F.col("masked")}
     if "n_chars" in documents.columns:
-        own = own.withColumn("n_chars", F.when(F.size(name) == 0, F.col("n_chars")).otherwise(
-            F.length("text").cast(dict(documents.dtypes)["n_chars"])))
-    return own.drop(name, "base", "loose").withColumnsRenamed(
-        {"kept__base": "base", "kept__loose": "loose"}).select(*documents.columns)
+        kind = documents.schema["n_chars"].dataType
+        values["n_chars"] = F.when(F.col("is_masked"), F.length("masked").cast(kind)).otherwise(
+            F.col("item.n_chars"))
+    return changed.select(*[
+        values.get(name, F.col(f"item.`{name}`")).alias(name) for name in documents.columns])
 
 
 @query("op9_personal_data")
