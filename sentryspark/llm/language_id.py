@@ -24,10 +24,12 @@ from sentryspark.llm.common import map_texts, query, remainder, table
 from sentryspark.llm.tokens import slices
 from sentryspark.llm.word_rows import WordRows, ngram_hashes, sums_by_text
 
-# Parameters of the sample: rows per language, the longest text taken into it, and the share
-# (one in so many rows) kept for calibration.
+# Parameters of the sample: languages (those of the most rows), rows and characters per language, and
+# the share (one in so many rows) kept for calibration. Texts of any length take part, whole; a
+# language's sample ends with the row before the one that passes either bound.
+LANGUAGES = 200
 TRAIN_ROWS = 600
-TRAIN_CHARACTERS = 20_000
+TRAIN_CHARACTERS = 6_000_000
 CALIBRATION = 5
 # Parameters of the model: order, discount per order is estimated, letters that share the rest.
 ORDER = 5
@@ -132,25 +134,29 @@ class Models:
         out = np.zeros((len(words), len(self.names) + 1))
         for start in range(0, len(words), 50_000):
             part = words[start:start + 50_000]
-            codes, place, number = laid_out(part)
-            levels = ngram_hashes(codes, ORDER)
-            at = np.flatnonzero(place >= 1)
-            unseen = self.rests[0][1][0] - np.log(ALPHABET)
-            found = self._find(self.grams[0], levels[0][at])
-            logs = np.where(np.isnan(found), unseen, found)
-            for n in range(2, ORDER + 1):
-                rows = np.flatnonzero(place[at] >= n - 1)
-                here = at[rows]
-                rest = self._find(self.rests[n - 1], levels[n - 2][here - 1])
-                seen = self._find(self.grams[n - 1], levels[n - 1][here])
-                backed = logs[rows] + np.where(np.isnan(rest), 0.0, rest)
-                logs[rows] = np.where(np.isnan(seen), backed, seen)
+            logs, number = self.code_logs(part)
             for column in range(len(self.names)):
-                out[start:start + len(part), column] = np.bincount(
-                    number[at], logs[:, column], len(part))
-            out[start:start + len(part), -1] = np.bincount(number[at], minlength=len(part))
+                out[start:start + len(part), column] = np.bincount(number, logs[:, column], len(part))
+            out[start:start + len(part), -1] = np.bincount(number, minlength=len(part))
         return out
 
+    def code_logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every code but the start marks in each language, and its word's number."""
+        codes, place, number = laid_out(words)
+        levels = ngram_hashes(codes, ORDER)
+        at = np.flatnonzero(place >= 1)
+        unseen = self.rests[0][1][0] - np.log(ALPHABET)
+        found = self._find(self.grams[0], levels[0][at])
+        logs = np.where(np.isnan(found), unseen, found)
+        for n in range(2, ORDER + 1):
+            rows = np.flatnonzero(place[at] >= n - 1)
+            here = at[rows]
+            rest = self._find(self.rests[n - 1], levels[n - 2][here - 1])
+            seen = self._find(self.grams[n - 1], levels[n - 1][here])
+            backed = logs[rows] + np.where(np.isnan(rest), 0.0, rest)
+            logs[rows] = np.where(np.isnan(seen), backed, seen)
+        return logs, number[at]
+
     @classmethod
     def of(cls, state: dict) -> "Models":
         """Models from the plain arrays of another's ``vars``."""
@@ -213,27 +219,29 @@ def train(rows: list[tuple[str, str]]) -> Models | None:
 
 
 def training_sample(documents: DataFrame) -> list[tuple[str, str]]:
-    """At most TRAIN_ROWS texts per language, those of the smallest id hashes.
+    """Texts of each of the LANGUAGES most frequent languages, in the order of their id hashes.
 
     Hashes are even, so about twice the sample lies below a bound set by the number of ids of a
     language; only these rows are grouped and ranked, whatever share of all rows a language
     holds. An id counts once per language, with its smallest text. There is one bound per
-    language, as there is one column of the models: few enough to broadcast.
+    language, so at most LANGUAGES are broadcast; of equally frequent ones the first by name count.
     """
-    usable = documents.where(
-        F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARACTERS)
-    ).select("lang", "text", F.xxhash64("doc_id").alias("__order"))
-    bounds = usable.groupBy("lang").agg(F.approx_count_distinct("__order").alias("ids")).select(
-        "lang", (F.lit(2.0 * TRAIN_ROWS) / F.col("ids") * 2.0 ** 64 - 2.0 ** 63).alias("__bound"))
+    usable = documents.where("lang IS NOT NULL AND text IS NOT NULL").select(
+        "lang", "text", F.xxhash64("doc_id").alias("order"))
+    bounds = usable.groupBy("lang").agg(
+        F.approx_count_distinct("order").alias("ids"), F.count("*").alias("rows"))
+    bounds = bounds.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).select(
+        "lang", (F.lit(2.0 * TRAIN_ROWS) / F.col("ids") * 2.0 ** 64 - 2.0 ** 63).alias("bound"))
     rows = (
         usable.join(F.broadcast(bounds), "lang")
-        .where(F.col("__order").cast("double") <= F.col("__bound"))
-        .groupBy("lang", "__order").agg(F.min("text").alias("text"))
+        .where(F.col("order").cast("double") <= F.col("bound"))
+        .groupBy("lang", "order").agg(F.min("text").alias("text"))
         .selectExpr("lang", "text",
-                    "row_number() OVER (PARTITION BY lang ORDER BY __order) AS __rank")
-        .where(f"__rank <= {TRAIN_ROWS}").collect()
+                    "row_number() OVER (PARTITION BY lang ORDER BY order) AS place",
+                    "sum(length(text)) OVER (PARTITION BY lang ORDER BY order) AS so_far")
+        .where(f"place <= {TRAIN_ROWS} AND (place = 1 OR so_far <= {TRAIN_CHARACTERS})").collect()
     )
-    return [(row.text, row.lang) for row in sorted(rows, key=lambda row: (row.lang, row["__rank"]))]
+    return [(row.text, row.lang) for row in sorted(rows, key=lambda row: (row.lang, row.place))]
 
 
 def identify(documents: DataFrame, training: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ doc_id in ``labels`` counts once, with its smallest label.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,10 @@ from sentryspark.llm.common import map_texts, query, remainder, table
 from sentryspark.llm.tokens import slices
 from sentryspark.llm.word_rows import WordRows, mix, ngram_hashes, sums_by_text
 
-# Parameters of the sample: rows, and the longest text taken into it. Scoring takes whole texts.
+# Parameters of the sample: labelled rows, and characters of all their texts together. Texts of any
+# length take part, whole; the sample ends with the row before the one that passes either bound.
 TRAIN_ROWS = 2500
-TRAIN_CHARACTERS = 10_000
+TRAIN_CHARACTERS = 8_000_000
 # Parameters of the model.
 BUCKETS, WIDTH = 1 << 18, 8
 NGRAMS = (3, 4, 5)
@@ -106,19 +109,21 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, float
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str) -> list[tuple[str, int]]:
-    """At most TRAIN_ROWS labelled texts, those of the smallest id hashes."""
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(
-        F.min(label).alias("__label"))
-    usable = documents.where(F.length("text") <= TRAIN_CHARACTERS).select(
-        "doc_id", "text", F.xxhash64("doc_id").alias("__order"))
-    # The bound is found on hashes alone, so that only texts of the sample are moved.
-    ends = usable.select("doc_id", "__order").join(marked, "doc_id").select("__order").orderBy(
-        "__order").limit(TRAIN_ROWS).agg(F.max("__order")).head()[0]
+    """Labelled texts in the order of their id hashes, up to TRAIN_ROWS and TRAIN_CHARACTERS."""
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"))
+    usable = documents.select(
+        "doc_id", "text", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("print"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("size")).where("text IS NOT NULL")
+    # The bound is found on hashes and lengths alone, so that only texts of the sample are moved.
+    order = ["order", "doc_id", "print"]
+    first = usable.select(*order, "size").join(marked, "doc_id").orderBy(*order).limit(TRAIN_ROWS)
+    sizes = [row.size for row in first.select("size", *order).orderBy(*order).collect()]
+    kept = max(int(np.searchsorted(np.cumsum(sizes), TRAIN_CHARACTERS, side="right")), 1)
+    ends = first.orderBy(*order).limit(kept).agg(F.max("order")).head()[0]
     rows = (
-        usable.where(F.col("__order") <= F.lit(ends)).join(marked, "doc_id")
-        .orderBy("__order", "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS)
+        usable.where(F.col("order") <= F.lit(ends)).join(marked, "doc_id").orderBy(*order).limit(kept)
     )
-    return [(row.text, row["__label"]) for row in rows.select("text", "__label").collect()]
+    return [(row.text, row.label) for row in rows.select("text", "label").collect()]
 
 
 def scorer(model: tuple[np.ndarray, float]):
@@ -181,17 +186,19 @@ def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -
     """The rows, with all their columns, whose text scores 0.5 or more."""
     model = train(training_sample(documents, labels, label))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    text = documents.columns.index("text")
+    names = documents.columns
+    text = names.index("text")
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(shared.value)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array(score(batch.column(text).to_pylist()) >= 0.5))
-
-        return step
-
-    return map_texts(documents, documents.columns, documents.schema, make)
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.RecordBatch.from_arrays(batch.columns, names)
+                yield rows.filter(pa.array(score(batch.column(text).to_pylist()) >= 0.5))
+
+    # Columns go by their places, as a name may hold a point.
+    placed = documents.toDF(*[f"column_{place}" for place in range(len(names))])
+    return placed.mapInArrow(run, documents.schema)
 
 
 def classify(

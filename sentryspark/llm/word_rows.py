@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 # Parameter: words kept before the table starts anew.
-ROWS_KEPT = 1_000_000
+ROWS_KEPT = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
