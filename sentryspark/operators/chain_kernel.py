@@ -17,9 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sentryspark.operators.blocks import FROM, SUBS, UPTO
+
 # Threshold of the exit row that serves every expiry not covered by another row.
 ANY_EXPIRY = np.iinfo(np.int64).max
-MACHINE = ["n_steps", "span_ms", "block_ms"]
+# Step of the exit row for states that leave as they came in.
+UNCHANGED = -1
+MACHINE = ["n_steps", "span_ms", SUBS, FROM, UPTO]
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -170,36 +174,36 @@ class BlockNodes:
 
 
 def exit_table(batch: pa.Table, keys: list[str]) -> pa.Table:
-    """What each block does to every state it can be entered in.
+    """What each part of a block does to every state it can be entered in.
 
     Rows read: entered at ``step_in`` with an expiry of at most ``upto`` (the smallest such
-    row applies), the block is left at ``step_out`` with ``expiry_out``. An expiry that ends
-    inside the block leaves it at step 0, as the next block would see it. Blocks that are
-    always left at step 0 have no rows.
+    row applies), the part is left at ``step_out`` with ``expiry_out``. An expiry that ends
+    inside the part leaves it at step 0, as the next one would see it. In a part shorter than a
+    span, a state may wait for a step that no row matches and expire only later: it leaves as it
+    came in. Parts that are always left at step 0 have no rows.
     """
     nodes = BlockNodes(batch, keys)
     ends = nodes.chain_ends()
     step_out, expiry_out = nodes.exit_step.reshape(-1), nodes.exit_expiry.reshape(-1)
-    block_ms = numbers(batch, "block_ms")[nodes.starts]
-    limit = (numbers(batch, "block")[nodes.starts] + 1) * block_ms
+    low, limit = (numbers(batch, name)[nodes.starts] for name in (FROM, UPTO))
     groups = np.arange(len(nodes.starts))
     steps = nodes.steps[nodes.starts]
     pieces = []
 
-    def add(group: np.ndarray, step: int, upto: np.ndarray, node: np.ndarray) -> None:
+    def add(group: np.ndarray, step: int, upto: np.ndarray, out: np.ndarray, expiry: np.ndarray) -> None:
+        pieces.append(np.stack([group, np.full(len(group), step), upto, out, expiry]))
+
+    def follow(group: np.ndarray, step: int, upto: np.ndarray, node: np.ndarray) -> None:
         last = ends[np.maximum(node, 0)]
         out = np.where(node >= 0, step_out[last], 0)
         expiry = np.where(node >= 0, expiry_out[last], 0)
         live = (out > 0) & (expiry > limit[group])
-        pieces.append(np.stack([
-            group, np.full(len(group), step), upto,
-            np.where(live, out, 0), np.where(live, expiry, 0),
-        ]))
+        add(group, step, upto, np.where(live, out, 0), np.where(live, expiry, 0))
 
     zero = np.zeros(len(groups), dtype=np.int64)
-    add(groups, 0, np.full(len(groups), ANY_EXPIRY), nodes.entry_nodes(zero, zero))
-    # A state entered with a later step has an expiry within one span of the block start.
-    horizon = limit - block_ms + nodes.span[nodes.starts]
+    follow(groups, 0, np.full(len(groups), ANY_EXPIRY), nodes.entry_nodes(zero, zero))
+    # A state entered with a later step has an expiry within one span of the part's start.
+    horizon = low + nodes.span[nodes.starts]
     edge = nodes.first_at(groups, horizon)
     edge = np.where(edge < nodes.rows, edge, nodes.ends - 1)
     index = np.arange(nodes.rows)
@@ -211,24 +215,30 @@ def exit_table(batch: pa.Table, keys: list[str]) -> pa.Table:
         row = index[lapses]
         fresh = nodes.matched(row, 0)
         node = np.where(fresh < nodes.rows, fresh * nodes.width, -1)
-        add(nodes.group[row], step, nodes.time[row], node)
-        node = np.where(match < nodes.rows, match * nodes.width + step, -1)
-        add(groups[used], step, np.full(int(used.sum()), ANY_EXPIRY), node[used])
+        follow(nodes.group[row], step, nodes.time[row], node)
+        meets = used & (match < nodes.rows)
+        follow(groups[meets], step, np.full(int(meets.sum()), ANY_EXPIRY),
+               match[meets] * nodes.width + step)
+        waits = groups[used & (match >= nodes.rows)]
+        nothing = np.zeros(len(waits), dtype=np.int64)
+        add(waits, step, limit[waits], nothing, nothing)
+        # Beyond the limit only in a part that is shorter than a span.
+        waits = waits[horizon[waits] > limit[waits]]
+        nothing = np.zeros(len(waits), dtype=np.int64)
+        add(waits, step, np.full(len(waits), ANY_EXPIRY), nothing + UNCHANGED, nothing)
     group, step_in, upto, out, expiry = distinct_exits(np.concatenate(pieces, axis=1))
     first_rows = pa.array(nodes.starts[group])
     columns = {key: batch.column(key).take(first_rows) for key in keys}
+    machine = {name: batch.column(name).take(first_rows) for name in MACHINE}
     return pa.table({
-        **columns, "step_in": step_in, "upto": upto, "step_out": out, "expiry_out": expiry,
-        "n_steps": steps[group], "span_ms": nodes.span[nodes.starts][group],
-        "block_ms": block_ms[group],
-    })
+        **columns, "step_in": step_in, "upto": upto, "step_out": out, "expiry_out": expiry, **machine})
 
 
 def distinct_exits(rows: np.ndarray) -> np.ndarray:
-    """Exit rows in lookup order, without blocks that always end at step 0, keeping the last
+    """Exit rows in lookup order, without parts that always end at step 0, keeping the last
     of neighbouring rows that leave in the same state."""
     group, _, _, out, _ = rows
-    alive = np.bincount(group, weights=out)[group] > 0
+    alive = np.bincount(group, weights=np.abs(out))[group] > 0
     rows = rows[:, alive]
     rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
     keep = np.ones(rows.shape[1], dtype=bool)
@@ -258,38 +268,46 @@ def taken_steps(batch: pa.Table, keys: list[str], report: str) -> pa.Table:
 def entry_states(
     batches: Iterable[pa.RecordBatch], keys: list[str]
 ) -> Iterator[pa.Table]:
-    """Walk exit tables in (key, block) order; yield the states left past step 0.
+    """Walk exit tables in (key, block, part) order; yield the states left past step 0.
 
-    Each one is the entry state of the block that follows. The walk keeps one state,
-    whatever the length of the key; a block without table is left at step 0.
+    Each one is the entry state of the part that follows. The walk keeps one state,
+    whatever the length of the key; a part without table is left at step 0.
     """
-    previous, step, expiry = None, 0, 0
+    following, step, expiry = None, 0, 0
     for table in whole_groups(batches, keys):
         starts = group_starts(table, keys)
         ends = np.append(starts[1:], table.num_rows)
-        firsts = table.select(keys).take(pa.array(starts))
+        firsts = table.select([*keys, SUBS]).take(pa.array(starts))
         names = list(zip(*(firsts.column(key).to_pylist() for key in keys)))
+        parts = firsts.column(SUBS).to_pylist()
         step_in, upto = numbers(table, "step_in"), numbers(table, "upto")
         step_out, expiry_out = numbers(table, "step_out"), numbers(table, "expiry_out")
-        found, steps, expiries = [], [], []
-        for position, (name, low, high) in enumerate(zip(names, starts, ends)):
-            follows = previous is not None and (*name[:-1], name[-1] - 1) == previous
-            if not follows:
+        found, next_parts, steps, expiries = [], [], [], []
+        for position, (name, subs, low, high) in enumerate(zip(names, parts, starts, ends)):
+            if name != following:
                 step = 0
             row = low
             if step:
                 row += np.searchsorted(step_in[low:high], step)
                 last = low + np.searchsorted(step_in[low:high], step, side="right")
                 row += np.searchsorted(upto[row:last], expiry)
-            step, expiry, previous = int(step_out[row]), int(expiry_out[row]), name
+            if step_out[row] != UNCHANGED:
+                step, expiry = int(step_out[row]), int(expiry_out[row])
+            *key, block, sub = name
+            next_part = (block, sub + 1) if sub + 1 < subs else (block + 1, 0)
+            following = (*key, *next_part)
             if step:
                 found.append(position)
+                next_parts.append(next_part)
                 steps.append(step)
                 expiries.append(expiry)
         if found:
             entered = firsts.take(pa.array(found))
             columns = {key: entered.column(key) for key in keys}
-            columns[keys[-1]] = pc.add(columns[keys[-1]], 1)
+            for column, values in zip(keys[-2:], zip(*next_parts)):
+                columns[column] = pa.array(values, entered.schema.field(column).type)
             left = pa.array(starts[found])
             machine = {name: table.column(name).take(left) for name in MACHINE}
+            # The part that follows begins where this one ends.
+            machine[FROM] = machine[UPTO]
             yield pa.table({**columns, "step_in": steps, "expiry_in": expiries, **machine})

@@ -1,8 +1,9 @@
 """Keyed step machines (ordered sequences, greedy dedup) split across time blocks.
 
-A key is never gathered in one task. Each (key, block) first says what it would do to every
+A key is never gathered in one task. Each (key, block, part) first says what it would do to every
 state it could be entered in; walking those small tables gives the true entry states; then
-all blocks run at once from their entry state.
+all parts run at once from their entry state. Blocks last ``BLOCKS_PER_SPAN`` spans; one of many
+rows is cut into parts of even size (``blocks``), which may be shorter than a span.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentryspark.operators import chain_kernel
+from sentryspark.operators.blocks import FROM, PLACE, SUBS, UPTO, time_blocks
 
 BLOCKS_PER_SPAN = 8
-MACHINE = ["n_steps", "span_ms", "block_ms"]
+MACHINE = ["n_steps", "span_ms", SUBS, FROM, UPTO]
 NUMBERS = ["step_in", "upto", "step_out", "expiry_out", *MACHINE]
 ENTRY_NUMBERS = ["step_in", "expiry_in", *MACHINE]
 
@@ -27,18 +29,17 @@ def run_machines(
     keys: list[str],
     ties: list[str],
     report: str,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Rows of ``rows`` at which their key's machine takes its ``first`` or ``last`` step.
 
     ``rows`` needs ``keys`` (not NULL), ``ms``, ``steps`` (an array of the numbers of the steps the
     row matches), ``n_steps`` and ``span_ms`` (both fixed per key). Order is ``ms`` then ``ties``.
-    Blocks last ``BLOCKS_PER_SPAN`` spans, so an expiry never outlives the next block.
+    They are read several times and should come from a written table.
     """
-    block_ms = F.greatest(F.col("span_ms"), F.lit(1)) * BLOCKS_PER_SPAN
-    blocked = rows.withColumn("block_ms", block_ms).withColumn(
-        "block", F.floor(F.col("ms") / F.col("block_ms"))
-    )
-    groups = [*keys, "block"]
+    length = F.greatest(F.col("span_ms"), F.lit(1)) * BLOCKS_PER_SPAN
+    blocked = time_blocks(rows, keys, "ms", length, block_rows)
+    groups = [*keys, *PLACE]
     needed = [*groups, "ms", *[t for t in ties if t not in groups], "steps", *MACHINE]
     tables = in_groups(blocked.select(*needed), groups, ties).mapInArrow(
         exit_table_job(groups), numbers_schema(blocked, groups, NUMBERS)
@@ -47,9 +48,9 @@ def run_machines(
         tables.repartition(*keys).sortWithinPartitions(*groups, "step_in", "upto")
         .mapInArrow(entry_state_job(groups), numbers_schema(blocked, groups, ENTRY_NUMBERS))
     )
-    # Entry states travel as rows ahead of their block: they match no step.
+    # Entry states travel as rows ahead of their part: they match no step.
     ahead = entries.withColumns({
-        "ms": F.col("block") * F.col("block_ms") - 1, "steps": F.array().cast("array<int>"),
+        "ms": F.col(FROM) - 1, "steps": F.array().cast("array<int>"),
     })
     entered = blocked.withColumns({
         "step_in": F.lit(0).cast("long"), "expiry_in": F.lit(0).cast("long"),

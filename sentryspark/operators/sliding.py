@@ -1,7 +1,8 @@
 """Running sums and sliding counts that stay parallel when one key holds most rows.
 
-A key is cut into time blocks. Block totals are combined before the shuffle, their running
-sum gives each block's opening balance, and rows are only ordered inside a (key, block).
+A key is cut into time blocks, and blocks of many rows into parts (``blocks``). Totals of the parts
+are combined before the shuffle, their running sum gives each part's opening balance, and rows are
+only ordered inside a (key, block, part).
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentryspark.operators.blocks import PLACE, time_blocks
+
 HOUR_MS = 3_600_000
-BLOCK = "_block"
 
 
 def running_sum(
@@ -21,16 +23,17 @@ def running_sum(
     value: str,
     out: str,
     block_ms: int = HOUR_MS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the key's rows up to and including this one.
 
     ``order`` is the total order and must start with ``time`` (milliseconds). ``keys`` must
     not be NULL.
     """
-    blocked = df.withColumn(BLOCK, F.floor(F.col(time) / block_ms))
-    groups = [*keys, BLOCK]
+    blocked = time_blocks(df, keys, time, F.lit(block_ms), block_rows)
+    groups = [*keys, *PLACE]
     earlier = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
     )
     opening = (
         blocked.groupBy(*groups)
@@ -45,7 +48,7 @@ def running_sum(
         blocked.withColumn("_inside", F.sum(value).over(upto))
         .join(opening, groups)
         .withColumn(out, F.col("_opening") + F.col("_inside"))
-        .drop(BLOCK, "_inside", "_opening")
+        .select(*df.columns, out)
     )
 
 
@@ -57,6 +60,7 @@ def sliding_count(
     ties: list[str],
     out: str,
     block_ms: int = HOUR_MS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``out``: rows of the key in ``(t - window, t]`` up to this one, itself included.
 
@@ -75,7 +79,7 @@ def sliding_count(
     )
     moves = df.select(F.inline(F.array(entering, leaving)))
     order = [F.col("_at"), F.col("_step"), *[F.col(f"_row.{tie}") for tie in ties]]
-    counted = running_sum(moves, keys, "_at", order, "_step", out, block_ms)
+    counted = running_sum(moves, keys, "_at", order, "_step", out, block_ms, block_rows)
     return counted.where("_step = 1").select(*keys, "_row.*", out)
 
 

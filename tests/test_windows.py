@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentryspark.operators import chain_kernel
+from sentryspark.operators.blocks import PLACE, time_blocks
 from sentryspark.operators.chains import run_machines
 from sentryspark.operators.percentiles import exact_percentiles
 from sentryspark.operators.sliding import running_sum, sliding_count, sliding_distinct
@@ -43,8 +44,11 @@ def test_machines_across_blocks(spark, steps, span, horizon, report):
             for i in range(600)]
     frame = spark.createDataFrame(rows, "key STRING, ms BIGINT, bits BIGINT, id STRING").withColumns(
         {"steps": F.expr(STEPS), "n_steps": F.lit(steps).cast("long"), "span_ms": F.lit(span).cast("long")})
-    got = run_machines(frame, ["key"], ["id"], report).select("id").collect()
-    assert sorted(r[0] for r in got) == plain_machine(rows, steps, span, report)
+    wanted = plain_machine(rows, steps, span, report)
+    # Whole blocks, and blocks cut into parts that are shorter than a span.
+    for block_rows in (None, 20, 3):
+        got = run_machines(frame, ["key"], ["id"], report, block_rows).select("id").collect()
+        assert sorted(r[0] for r in got) == wanted
 
 
 def test_periodic_rows_never_merge_chains(spark):
@@ -52,8 +56,27 @@ def test_periodic_rows_never_merge_chains(spark):
     rows = [("k", ms, 1, f"{ms:05d}") for ms in range(3, 8000, 7)]
     frame = spark.createDataFrame(rows, "key STRING, ms BIGINT, bits BIGINT, id STRING").withColumns(
         {"steps": F.expr(STEPS), "n_steps": F.lit(2).cast("long"), "span_ms": F.lit(50).cast("long")})
-    got = run_machines(frame, ["key"], ["id"], "first").select("id").collect()
-    assert sorted(r[0] for r in got) == plain_machine(rows, 2, 50, "first")
+    for block_rows in (None, 5):
+        got = run_machines(frame, ["key"], ["id"], "first", block_rows).select("id").collect()
+        assert sorted(r[0] for r in got) == plain_machine(rows, 2, 50, "first")
+
+
+def test_a_hot_key_is_cut_into_even_parts(spark):
+    # All rows of one empty session within one block, half of them in a burst.
+    rows = [("", 50_000 + n // 2 if n < 2_000 else 40 * n, n) for n in range(4_000)]
+    frame = spark.createDataFrame(rows, "key STRING, ms BIGINT, id INT")
+    blocks = time_blocks(frame, ["key"], "ms", F.lit(3_600_000), 100)
+    sizes = [r["count"] for r in blocks.groupBy(*PLACE).count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    assert blocks.where("ms < _from OR ms >= _upto").count() == 0
+    whole = time_blocks(frame, ["key"], "ms", F.lit(3_600_000))
+    assert whole.groupBy(*PLACE, "_subs").count().count() == 1
+    wanted, window = {}, 700
+    times = sorted((ms, n) for _, ms, n in rows)
+    for at, (ms, n) in enumerate(times):
+        wanted[n] = sum(1 for other, _ in times[:at + 1] if other > ms - window)
+    counted = sliding_count(frame.withColumn("w", F.lit(window)), ["key"], "ms", "w", ["id"], "n", block_rows=100)
+    assert {r.id: r.n for r in counted.collect()} == wanted
 
 
 def test_groups_are_never_cut_by_batches():
