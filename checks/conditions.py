@@ -38,6 +38,9 @@ def field(name: str, operator: str, value) -> dict:
 CONDITIONS = {
     "cond_eq": (field("toolName", "Eq", "web_search"), "tool_name = 'web_search'"),
     "cond_eq_double_text": (field("latencyMs", "Eq", 100), "latency_ms = 100"),
+    "cond_any_of_whole_doubles": (
+        {"type": "any_of", "field": "latencyMs", "values": [str(n) for n in range(1000)]},
+        "latency_ms = floor(latency_ms) AND latency_ms < 1000"),
     "cond_eq_property": (field("properties.k", "Eq", 42), "k = 42"),
     "cond_neq": (field("toolName", "Neq", "web_search"),
                  "tool_name IS NOT NULL AND tool_name <> 'web_search'"),

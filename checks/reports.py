@@ -201,11 +201,14 @@ def tool_anomalies_query(spark, sf_dir):
     return tool_anomalies(tools_of(spark, sf_dir), AS_OF, threshold=0.25)
 
 
-@query("session_timeline", f"""WITH {ALERTS} SELECT e.event_id, e.timestamp, e.event_type,
+TIMELINE = f"""WITH {ALERTS} SELECT e.event_id, e.timestamp, e.event_type,
  e.agent_id, tool_name, model_id, input_tokens, output_tokens, latency_ms, properties,
  coalesce(a.alert_id, '') AS alert_ids, coalesce(a.severity, '') AS alert_severities
  FROM ae e LEFT JOIN alerts a USING (event_id) WHERE e.session_id = 'sess-7'
- ORDER BY e.timestamp, e.event_id LIMIT 1000""")
+ ORDER BY e.timestamp, e.event_id LIMIT 1000"""
+
+
+@query("session_timeline", TIMELINE)
 def session_timeline_query(spark, sf_dir):
     alerts = alerts_of(spark, sf_dir)
     timeline = session_timeline(events_of(spark, sf_dir), links_of(alerts), alerts, "sess-7")

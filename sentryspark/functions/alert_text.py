@@ -21,7 +21,7 @@ DEDUP_KEY_PREFIX = "siem-"
 SOURCE_PREFIX = "siem-agent-"
 LINK_FIELD = "siem_url"
 LINK_LABEL = "View in SIEM"
-TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def span_text(millis: int) -> str:
@@ -79,7 +79,13 @@ def json_text(*fields: Column) -> Column:
 
 
 def timestamp_text(column: Column) -> Column:
-    return F.date_format(column, TIMESTAMP_FORMAT)
+    """UTC time with as many fraction digits as it needs, none for a whole second."""
+    return F.concat(F.regexp_replace(F.date_format(column, TIMESTAMP_FORMAT), "[.]?0+$", ""), F.lit("Z"))
+
+
+def full_timestamp_text(column: Column) -> Column:
+    """UTC time with seven fraction digits."""
+    return F.concat(F.date_format(column, TIMESTAMP_FORMAT), F.lit("0Z"))
 
 
 def renamed(pairs: dict[str, Column | str]) -> list[Column]:
@@ -170,7 +176,7 @@ def render_pagerduty(routing_key: str, base_url: str) -> Column:
         "summary": "title",
         "source": F.concat(F.lit(SOURCE_PREFIX), F.col("agent_id")),
         "severity": F.lit("critical"),
-        "timestamp": timestamp_text(F.col("triggered_at")),
+        "timestamp": full_timestamp_text(F.col("triggered_at")),
         "component": "agent_name",
         "group": F.coalesce(F.col("labels")["category"], F.lit(FALLBACK_GROUP)),
         "class": "rule_name",

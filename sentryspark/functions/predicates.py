@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +120,12 @@ def uses_properties(node: dict) -> bool:
 
 
 def check_patterns(spark: SparkSession, node: dict) -> None:
-    """Reject regular expressions that Spark's dialect cannot compile."""
+    """Reject regular expressions that Spark's dialect (Java's) cannot compile."""
     for leaf in leaves(node):
         if leaf["type"] == "field" and leaf["operator"] == "Regex":
             try:
-                spark.sql("SELECT 'x' RLIKE :pattern", args={"pattern": leaf["value"]}).collect()
-            except Exception as error:
+                spark._jvm.java.util.regex.Pattern.compile(leaf["value"])
+            except IllegalArgumentException as error:
                 raise ConditionError(f"Unsupported pattern: {leaf['value']}") from error
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,8 @@ from sentryspark.operators.sliding import (
 from sentryspark.schema import ALERT_MOVES, SEVERITIES
 from sentryspark.session import cut_lineage
 
+# Day column of partitioned events; a filter on it opens no other day.
+DAY = "event_date"
 MINUTE_MS = 60_000
 DAY_MS = 24 * HOUR_MS
 RECENT_TOOLS = 10
@@ -166,11 +169,14 @@ def enrich(
     rules: DataFrame,
     events: DataFrame,
     history: DataFrame | None = None,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts with rule name and labels, recent alerts, session size and recent tools.
 
-    ``history`` are alerts of earlier runs (agent_id, triggered_at). Events and alerts are
-    read as of each alert's own time.
+    ``history`` are alerts of earlier runs (agent_id, triggered_at), ``sessions`` (session_id,
+    started_at) tells from when on the alerts' sessions have events. Events and alerts are
+    read as of each alert's own time, and only of the time, sessions and agents that the alerts
+    can refer to; day-partitioned events are pruned by it.
     """
     named = created.join(
         rules.select(F.col("id").alias("rule_id"), F.col("name").alias("_name"), "actions_json"),
@@ -186,16 +192,41 @@ def enrich(
         F.col("timestamp").alias("triggered_at"), rule_labels(F.col("actions_json")).alias("labels"),
     )
     alerts = cut_lineage(alerts)
+    first, last = alerts.agg(F.min("triggered_at"), F.max("triggered_at")).first()
+    if history is not None:
+        history = within(history, "triggered_at", first, last, timedelta(days=1)).join(
+            alerts.select("agent_id").distinct(), "agent_id", "left_semi")
+    began = None if sessions is None else sessions.join(
+        alerts.select("session_id").distinct(), "session_id", "left_semi").agg(F.min("started_at")).first()[0]
     facts = [
         recent_alert_counts(alerts, history),
-        session_event_counts(alerts, events),
-        recent_tools(alerts, events),
+        session_event_counts(alerts, within(events, "timestamp", began, last)),
+        recent_tools(alerts, within(events, "timestamp", first, last, timedelta(hours=1))),
     ]
     joined = reduce(lambda left, right: left.join(right, "alert_id", "left"), facts, alerts)
     no_tools = F.array().cast("array<string>")
     return joined.withColumn("recent_tools", F.coalesce("recent_tools", no_tools)).drop("ms")
 
 
+def within(
+    rows: DataFrame, column: str, first: datetime | None, last: datetime | None,
+    back: timedelta = timedelta(0),
+) -> DataFrame:
+    """Rows from ``back`` before ``first`` (without it, from ever) up to ``last``; none without ``last``.
+
+    Days are a day wider on either side, as the driver may be in another time zone.
+    """
+    if last is None:
+        return rows.where(F.lit(False))
+    day = timedelta(days=1)
+    test, days = F.col(column) <= F.lit(last), F.col(DAY) <= F.lit((last + day).date())
+    if first is not None:
+        since = first - back
+        test &= F.col(column) >= F.lit(since)
+        days &= F.col(DAY) >= F.lit((since - day).date())
+    return rows.where(test & days if DAY in rows.columns else test)
+
+
 def recent_alert_counts(alerts: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(alert_id, recent_alert_count): earlier alerts of the agent in the last 24 hours."""
     timeline = alerts.select("alert_id", "agent_id", "ms")
@@ -235,7 +266,8 @@ def recent_tools(alerts: DataFrame, events: DataFrame) -> DataFrame:
     exact and never joins an alert with single events. Alerts without tools have no row.
     """
     hour = time_bucket("hour", "timestamp")
-    used = events.where("tool_name IS NOT NULL").groupBy(
+    wanted = alerts.select("session_id").distinct()
+    used = events.where("tool_name IS NOT NULL").join(wanted, "session_id", "left_semi").groupBy(
         "session_id", hour.alias("hour"), "tool_name"
     ).agg(F.min("timestamp").alias("first_use"), F.max("timestamp").alias("last_use"))
     own_hour = time_bucket("hour", "triggered_at")

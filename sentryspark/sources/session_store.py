@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentryspark.operators.sessions import session_alert_rollup
 from sentryspark.sources.batches import Batch, read_table
+from sentryspark.sources.event_store import read_events
 
 PARTIALS = """
     session_id STRING, agent_id STRING, agent_name STRING, started_at TIMESTAMP,
@@ -49,3 +50,15 @@ def read_marked_sessions(spark: SparkSession, root: str) -> DataFrame:
     """Sessions with the marks that alert batches left: has_alerts, alert_count, max_severity."""
     marks = read_table(spark, root, "session_marks", MARKS).dropDuplicates(["alert_id"])
     return session_alert_rollup(read_sessions(spark, root), marks)
+
+
+def read_session_events(spark: SparkSession, root: str, session_id: str) -> DataFrame:
+    """Stored events of one session; only the days between its first and last event are opened.
+
+    The days come from the session table, where the session's few rows are found by a pushed-down
+    filter. An unknown session has no events.
+    """
+    parts = read_table(spark, root, "sessions", PARTIALS).where(F.col("session_id") == session_id)
+    start, end = parts.agg(F.min("started_at"), F.max("last_event_at")).first()
+    events = read_events(spark, root, start, end) if end else read_events(spark, root).where(F.lit(False))
+    return events.where(F.col("session_id") == session_id)

@@ -27,12 +27,12 @@ from sentryspark.operators.rules import (
 )
 from sentryspark.session import scratch, written
 from sentryspark.sources.alert_store import add_alerts, read_alerts
-from sentryspark.sources.batches import Batch, read_table
+from sentryspark.sources.batches import Batch, exists, read_table
 from sentryspark.sources.catalog import Rule, load_rules
 from sentryspark.sources.event_store import DAY, TABLE, read_events, stored_form
 from sentryspark.sources.raw import dead_letters, decode_events, normalize_events
 from sentryspark.sources.rollup_store import add_states
-from sentryspark.sources.session_store import session_parts
+from sentryspark.sources.session_store import PARTIALS, session_parts
 from sentryspark.streaming.processors import Dedup, RuleProgress, Throttle
 
 MATCH_SCHEMA = """
@@ -208,7 +208,9 @@ def alert_batch(
             batch.write("rule_errors", errors)
         history = None if batch_id == 0 else read_alerts(spark, folders.root, batch_id).select(
             "agent_id", "triggered_at")
-        add_alerts(batch, enrich(suppress(found, suppressions), rules, events, history))
+        started = read_table(spark, folders.root, "sessions", PARTIALS) if exists(
+            spark, f"{folders.root}/sessions") else None
+        add_alerts(batch, enrich(suppress(found, suppressions), rules, events, history, started))
     batch.commit()
 
 
