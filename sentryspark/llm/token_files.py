@@ -24,7 +24,9 @@ from sentryspark.llm.tokens import encoder, slices, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-# Parameters of the files.
+# Parameters of the files. There are as many as shuffle partitions, or more where the input is larger than
+# so many times INPUT_BYTES.
+INPUT_BYTES = 256 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
@@ -72,7 +74,8 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = END
         F.monotonically_increasing_id().alias("row"),
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // INPUT_BYTES))
     ranged = (
         rows.repartitionByRange(files, *order)
         .sortWithinPartitions(*order)
