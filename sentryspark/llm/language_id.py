@@ -8,7 +8,8 @@ counts as rejected, are set on the part of the sample that took no part in count
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language that sorts
 first. Without any labelled row all texts are ``und``. A null lang takes no part in training; texts
-are lower-cased. Repeated rows are judged alike.
+are lower-cased. Repeated rows are judged alike. An empty table gives no row. A long text is one list
+of its words in one task. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

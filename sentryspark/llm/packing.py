@@ -14,7 +14,9 @@ Blocks are runs of documents within a task, bounded by tokens. So nothing is shu
 is bounded whatever a source's share, and a task that is run again gives the same pieces.
 
 A null or empty text is its end token alone; a null doc_id is kept. Repeated rows are packed once
-each. ``sequence_id`` is unique over all tasks, not gapless.
+each. Of equal lengths the earlier row goes first, of equal costs the earlier sequence. An empty
+table gives no row. A long text adds its tokens to one block. Other columns are ignored, whatever
+their names. ``sequence_id`` is unique over all tasks, not gapless.
 """
 
 from __future__ import annotations

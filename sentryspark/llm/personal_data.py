@@ -9,7 +9,9 @@ a logistic classifier, which decides on the candidates that are not base spans.
 
 Votes are counted over all spans; only the counts of distinct vote patterns reach the driver, at most
 4 * 3 ** 4 rows. Null texts are empty and have no spans. Rows are judged apart; repeated
-rows give repeated results. Positions count code points, the end is exclusive.
+rows give repeated results. Positions count code points, the end is exclusive. An empty table gives no
+row. A long text is searched whole, its spans are one array. Other columns are ignored by
+``find_personal_data`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,9 +46,10 @@ LOOSE = {
     "phone": "(?<![0-9+.(-])(?<![0-9] )(?:\\([0-9]{3}\\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}"
              "(?![ .-]?[0-9])",
 }
-# Characters without which a pattern can't match, to spare texts the search.
+# Characters of which a pattern needs one to match, to spare texts the search; none: any text.
 NEEDS = {
-    "email": ("@", "at"), "ip": (".", ":"), "card": (None, None), "phone": ("+", None),
+    "email": (("@",), ("at", "At", "aT", "AT")), "ip": ((".",), (":",)), "card": ((), ()),
+    "phone": (("+",), ()),
 }
 OCTETS = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 # Parameters: the labelers' word lists and the reach of the context.
@@ -136,7 +139,8 @@ def with_spans(documents: DataFrame) -> DataFrame:
             # The text is bound once, as it may be an expression.
             spans = f"transform(array({where}), t -> {located('t', pattern, kind, strict)})[0]"
             if needed:
-                spans = f"CASE WHEN contains(__plain, '{needed}') THEN {spans} ELSE {EMPTY} END"
+                some = " OR ".join(f"contains(__plain, '{part}')" for part in needed)
+                spans = f"CASE WHEN {some} THEN {spans} ELSE {EMPTY} END"
             if strict and kind != "email":
                 spans = (f"filter({spans}, s -> transform(array({covered('s', '__plain')}), "
                          f"m -> {valid(kind)})[0])")

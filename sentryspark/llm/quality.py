@@ -8,7 +8,9 @@ vector folds into one number for scoring, and a word's numbers are summed once p
 
 A null or empty text has no features and gets the score of the bias alone. A null label, or rows
 without one, take no part in training; without any labelled row all scores are 0.5. A repeated
-doc_id in ``labels`` counts once, with its smallest label.
+doc_id in ``labels`` counts once, with its smallest label. Equal hashes of ids are ordered by id and
+text. An empty table gives no row. A long text is one array of its words in one task. Other columns are
+ignored by ``classify`` and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations

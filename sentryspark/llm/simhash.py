@@ -12,7 +12,9 @@ two at distance two or less meet, and linked to the smallest of each group (at m
 group of copies is expanded into pairs and none is cut off.
 
 Texts without words have fingerprint zero and link like others. Null ids are kept as rows; a component
-of null ids alone has a null id. Repeated rows and ties share a fingerprint.
+of null ids alone has a null id. Repeated rows and ties share a fingerprint. An empty table gives no
+row. A long text is one array of hashes in one task. ``near_duplicates`` ignores other columns,
+``keep_one`` keeps them whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ are not and so get delta encoding. Row groups and pages have set sizes and pages
 a read of some documents or of the metadata alone touches only their pages.
 
 Null texts are empty; an empty text is its end id alone. Null ids come first. Documents with an
-equal id are ordered by their text, repeated rows share neither tokens nor place.
+equal id are ordered by their text, repeated rows share neither tokens nor place. An empty table gives
+no row. A long text is one list; lists go to batches of bounded size. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -241,3 +241,31 @@ def test_loose_spans_are_judged(spark):
     assert all(found[i].base == [] or found[i].base == "" for i in range(80))
     assert sum(added(i) > 0 for i in range(40)) >= 36
     assert sum(added(40 + i) > 0 for i in range(40)) <= 4
+
+
+def test_operators_ignore_clashing_columns(spark, clashing):
+    from sentryspark.llm import lexical_search, mixing, packing, pitman_yor, resampling
+
+    items, labels = common.table(spark, SMALL, "benchmark"), common.table(spark, SMALL, "labels")
+    plain = clashing.select("doc_id", "text", "lang", "source")
+    path = tokens.tokenizer_path(packing.VOCABULARY)
+    calls = [
+        compression.judge_texts, lambda d: quality.classify(d, labels), lambda d: language_id.identify(d, d),
+        simhash.near_duplicates, lambda d: decontamination.find_leaks(d, items), personal_data.find_personal_data,
+        lambda d: packing.pack_documents(d.coalesce(1), path), lambda d: resampling.resample(d, items),
+        lambda d: lexical_search.search(d, items, 5), mixing.mix,
+    ]
+    for call in calls:
+        assert sorted(map(str, call(clashing).collect())) == sorted(map(str, call(plain).collect()))
+    words, model = pitman_yor.fit(clashing)
+    held = common.remainder("doc_id", 10) == 0
+    assert pitman_yor.score(clashing, words, model, held).count() == clashing.count()
+    pages = spark.createDataFrame([(1, "http://a.net/es/", 5, 5)] * 3 + [(2, None, 5, 5)],
+                                  "page_id long, url string, host int, token int")
+    assert sorted(r.verdict for r in url_filters.filter_urls(pages).collect()) == ["allow", "block", "block", "block"]
+
+
+def test_upper_case_spellings_are_found(spark):
+    rows = spark.createDataFrame([(n, "mail to john (AT) example.com now") for n in range(30)], "doc_id long, text string")
+    loose = personal_data.with_spans(rows).select(F.size("loose").alias("n")).collect()
+    assert {r.n for r in loose} == {1}
