@@ -22,6 +22,11 @@ TEXT_OPERATORS = ["Eq", "Neq"]
 PATTERN_OPERATORS = ["Contains", "StartsWith", "EndsWith", "Regex"]
 ORDER_OPERATORS = ["Gt", "Lt", "Gte", "Lte"]
 
+# Error texts that clients of the rule catalog know.
+MISSING_PROPERTY = "Missing required property '{}' in condition: {}"
+UNKNOWN_TYPE = "Unknown condition type: {}"
+UNKNOWN_OPERATOR = "Unknown operator: {}"
+
 Membership = Callable[[str, str, FieldValue], str]
 
 
@@ -52,9 +57,7 @@ def required(node: dict, name: str, kind: type | tuple | None = None):
     if not isinstance(node, dict):
         raise ConditionError(f"Condition must be an object, got: {json.dumps(node)}")
     if name not in node:
-        raise ConditionError(
-            f"Missing required property '{name}' in condition: {json.dumps(node)}"
-        )
+        raise ConditionError(MISSING_PROPERTY.format(name, json.dumps(node)))
     value = node[name]
     if kind is not None and not isinstance(value, kind):
         raise ConditionError(f"Property '{name}' has the wrong type: {json.dumps(node)}")
@@ -87,7 +90,7 @@ def check_condition(node: dict) -> None:
         required(node, "field", str)
         required(node, "values", list)
     else:
-        raise ConditionError(f"Unknown condition type: {kind}")
+        raise ConditionError(UNKNOWN_TYPE.format(kind))
 
 
 def check_field(node: dict) -> None:
@@ -101,7 +104,7 @@ def check_field(node: dict) -> None:
         if isinstance(value, bool) or not isinstance(value, (int, float)):
             raise ConditionError(f"Operator {name} needs a number: {json.dumps(node)}")
     elif name not in TEXT_OPERATORS:
-        raise ConditionError(f"Unknown operator: {name}")
+        raise ConditionError(UNKNOWN_OPERATOR.format(name))
 
 
 def leaves(node: dict) -> Iterator[dict]:

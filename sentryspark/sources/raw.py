@@ -12,6 +12,7 @@ from sentryspark.schema import RAW_EVENT_FIELDS
 DECODE_ERROR = "EventDeserializationException"
 NULL_ERROR = "InvalidOperationException"
 NULL_MESSAGE = "Deserialized to null"
+POSITION_MESSAGE = "Failed to deserialize event at partition "
 ERROR_LIMIT = 500
 HEADER_PREFIX = "x-orig-"
 DEAD_LETTER_SUFFIX = ".dead-letter"
@@ -112,7 +113,7 @@ def decode_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(F.concat(F.lit("Wrong kind of value for: "), F.array_join("_faults", ", ")))
     )
     at = F.concat(
-        F.lit("Failed to deserialize event at partition "), F.col("partition").cast("string"),
+        F.lit(POSITION_MESSAGE), F.col("partition").cast("string"),
         F.lit(" offset "), F.col("offset").cast("string"), F.lit(": "), message,
     )
     checked = computed_once(named, {
