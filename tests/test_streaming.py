@@ -32,6 +32,15 @@ from test_detection import TOOL, rule, window
 LIMITS = NoiseLimits(dedup_ms=120_000, throttle_limit=3, throttle_ms=600_000)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every stateful operator keeps a state store per partition; small tables need few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def catalog(spark):
     return spark.createDataFrame([
