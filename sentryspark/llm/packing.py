@@ -39,6 +39,8 @@ VOCABULARY = "byte_bpe_50k.json"
 # 12 times its width squared per token to twice the width per pair), and tokens of a block.
 LINEAR, QUADRATIC = 12 * 1024, 2
 BLOCK_TOKENS = 4_000_000
+# Parameter: texts taken out of an Arrow batch at once.
+TEXTS = 500
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -163,16 +165,20 @@ def pack_documents(
                 [pa.array(values, pa.int64()) for values in zip(*rows)], names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [text or "" for text in texts]
-            for low, high in slices(texts):
-                for doc_id, encoded in zip(ids[low:high], words.encode(texts[low:high])):
-                    held.append((doc_id, encoded + end))
-                    tokens += len(encoded) // 4 + 1
-                    if tokens >= block_tokens:
-                        yield flush()
+            for place in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(place, TEXTS)
+                ids = part.column(0).to_pylist()
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for low, high in slices(texts):
+                    for doc_id, encoded in zip(ids[low:high], words.encode(texts[low:high])):
+                        held.append((doc_id, encoded + end))
+                        tokens += len(encoded) // 4 + 1
+                        if tokens >= block_tokens:
+                            yield flush()
         if held:
             yield flush()
+        # The worker may go on to other work, which can use the room.
+        words.forget()
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -18,7 +18,7 @@ import numpy as np
 
 # Parameter: words of a generation kept per worker, about 200 bytes each. When it is full, the words
 # used since move to the next one and the generation before is given up.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 SPECIAL_MARK = "<|"
 # A word that a line end or a text's start precedes (see ``WordEncoder.parts``), or a blank; letters
 # that stay one letter when composed or lower-cased; punctuation without the apostrophe, which
@@ -126,6 +126,11 @@ class WordEncoder(dict):
             word = " " + word
         return self._ids(["\n" + word if self.blank_leads and key[0] == "\n" else word])[0]
 
+    def forget(self) -> None:
+        """Give up the kept words."""
+        self.clear()
+        self.older = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self) > CACHE_WORDS:
