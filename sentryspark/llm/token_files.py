@@ -26,7 +26,7 @@ from sentryspark.llm.tokens import encoder, slices, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-# Parameters of the files. There are as many as shuffle partitions, or more where the input is larger than
+# Parameters of the files. There are as many as shuffle partitions, or more where the texts are larger than
 # so many times INPUT_BYTES.
 INPUT_BYTES = 256 << 20
 ROW_GROUP_BYTES = 16 << 20
@@ -76,7 +76,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = END
         F.monotonically_increasing_id().alias("row"),
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
-    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // INPUT_BYTES))
     ranged = (
         rows.repartitionByRange(files, *order)

@@ -158,6 +158,19 @@ def test_token_files_round_trip(spark):
         start += len(ids)
 
 
+def test_number_of_token_files_follows_the_texts_size(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "INPUT_BYTES", 100)
+    folder = common.shared_folder(spark, "many-files")
+    documents = docs_of(spark, *["ñandú 42 " * 10] * 40, None)
+    token_files.write_tokens(documents, folder, tokens.tokenizer_path(token_files.VOCABULARY))
+    rows = token_files.read_tokens(spark, folder).orderBy("start").collect()
+    # 40 texts of 110 bytes.
+    assert len(rows) == 41 and 8 < len(
+        spark.read.parquet(folder).select("block").distinct().collect()) <= 44
+    assert [row.start for row in rows] == [
+        sum(row.n_tokens for row in rows[:i]) for i in range(len(rows))]
+
+
 def test_simhash_links_equal_brute_force(spark):
     generator = np.random.default_rng(5)
     values = [int(x) for x in generator.integers(-2 ** 62, 2 ** 62, 300)]
