@@ -3,10 +3,10 @@
 Urls are split into tokens (scheme, labels of the host, path segments, query names). Tokens that
 reach the support are candidates. One that reaches the confidence alone is a rule of its own and takes
 no part in combinations, which it would only lengthen. Of the others, tokens that occur in the same
-urls count as one item, and a url enters FP-growth with its ``WIDTH`` most telling items, so a site with
-deep paths gives no more than 2 ** WIDTH combinations per url and (2 ** WIDTH) / MIN_SUPPORT in all.
-Combinations with a label as consequent, pruned by support and confidence, are the mined rules; one
-that only adds a token to a rule of no less confidence is dropped.
+urls count as one item, and equal sets of items are counted once. All frequent combinations of a url's
+items are counted, however many it has, but those that are in the same urls as a shorter one or in urls of
+one label only, as they cannot decide. Combinations that reach support and confidence for a label are the
+mined rules; one that only adds a token to a rule of no less confidence is dropped.
 
 Rules are indexed by their rarest token: a url meets only the rules listed under one of its tokens, and
 a rule counts if the url has all its tokens. The rule of the highest confidence, then support, then
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import string
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +36,6 @@ RULES = (
 )
 # Parameters of the mined rules.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
-WIDTH = 8
-LABEL = "="
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 _REST = "substring(url, instr(url, '://') + 3)"
@@ -113,26 +110,47 @@ def mine_rules(labelled: DataFrame) -> DataFrame:
 
 
 def combinations_of(baskets: DataFrame, items: DataFrame, total: int) -> DataFrame:
-    """Rules over several undecided items, by FP-growth."""
+    """Rules over several undecided items, counted size by size over the distinct sets of items.
+
+    A set is taken further while a label still reaches the support, both labels are in it, and it is in
+    fewer urls than any set of one item less. Others only lengthen a rule that is as good for every url
+    they are in, which would decide first. So no item of a url is left out.
+    """
     spark = baskets.sparkSession
     # Rows get their numbers before they are taken apart.
     numbered = baskets.select(F.monotonically_increasing_id().alias("row"), "label", "own").select(
         "row", "label", F.explode("own").alias("item"))
-    telling = F.sort_array(F.collect_list(F.struct("confidence", "item")), asc=False)
-    narrow = written(
-        numbered.join(F.broadcast(items.select("item", "confidence")), "item")
-        .groupBy("row", "label").agg(telling.alias("held"))
-        .select(F.expr(f"array_append(transform(slice(held, 1, {WIDTH}), x -> x.item), "
-                       f"concat('{LABEL}', label))").alias("items")), "url-items")
-    count = narrow.count()
-    if not count:
-        return spark.createDataFrame([], RULE_SHAPE)
-    model = FPGrowth(minSupport=min(1.0, MIN_SUPPORT * total / count), minConfidence=MIN_CONFIDENCE).fit(narrow)
-    mined = model.associationRules.where(F.col("consequent")[0].startswith(LABEL)).select(
-        F.monotonically_increasing_id().alias("rule"), "antecedent",
-        F.expr(f"substring(consequent[0], {len(LABEL) + 1})").alias("verdict"), "confidence",
-        (F.col("support") * count / total).alias("support"))
-    mined = mined.select("*", F.explode("antecedent").alias("item")).drop("antecedent")
+    held = written(
+        numbered.join(F.broadcast(items.select("item")), "item")
+        .groupBy("row", "label").agg(F.sort_array(F.collect_list("item")).alias("held"))
+        .groupBy("held").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("blocked")),
+        "url-items")
+    found = spark.createDataFrame([], "items array<string>, n long, label_n long, verdict string")
+    # Sets of items, each with the place of its last one in the url's items.
+    sets = held.select("*", F.posexplode("held").alias("at", "item")).withColumn("items", F.array("item")).drop("item")
+    shorter, size = None, 1
+    while True:
+        sets = written(sets, "item-sets")
+        counted = sets.groupBy("items").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).select(
+            "items", "n", F.greatest("blocked", F.col("n") - F.col("blocked")).alias("label_n"),
+            F.expr("IF(2 * blocked >= n, 'block', 'allow')").alias("verdict")).where(
+            F.col("label_n") >= MIN_SUPPORT * total)
+        if shorter is not None:
+            counted = fewer_urls(counted, shorter, size)
+        counted = written(counted, "item-counts")
+        if size > 1:
+            found = found.unionByName(counted.where(F.col("label_n") >= MIN_CONFIDENCE * F.col("n")))
+        shorter = counted.where("label_n < n")
+        if shorter.isEmpty():
+            break
+        sets = sets.join(shorter.select("items"), "items").withColumn(
+            "at", F.explode(F.expr("filter(sequence(0, size(held) - 1), x -> x > at)"))).withColumn(
+            "items", F.expr("array_append(items, held[at])"))
+        size += 1
+    mined = found.select(
+        F.monotonically_increasing_id().alias("rule"), "items", "verdict",
+        (F.col("label_n") / F.col("n")).alias("confidence"), (F.col("label_n") / total).alias("support"))
+    mined = mined.select("*", F.explode("items").alias("item")).drop("items")
     return (
         written(mined, "item-rules").join(F.broadcast(items.select("item", "members")), "item")
         .groupBy("rule", "verdict", "confidence", "support")
@@ -141,6 +159,15 @@ def combinations_of(baskets: DataFrame, items: DataFrame, total: int) -> DataFra
     )
 
 
+def fewer_urls(counted: DataFrame, shorter: DataFrame, size: int) -> DataFrame:
+    """Sets of ``size`` items whose sets of one item less are all in ``shorter`` and in more urls."""
+    parts = counted.select("items", F.col("n").alias("own"), F.explode("items").alias("left_out")).select(
+        F.col("items").alias("whole"), "own", F.expr("filter(items, x -> x <> left_out)").alias("items"))
+    narrower = parts.join(shorter.select("items", "n"), "items").where("n > own").groupBy("whole").agg(
+        F.count("*").alias("parts")).where(F.col("parts") == size)
+    return counted.join(narrower.select(F.col("whole").alias("items")), "items", "left_semi")
+
+
 def without_longer(rules: DataFrame) -> DataFrame:
     """Rules but those that add one token to a rule of the same verdict and no less confidence."""
     shorter = rules.select("*", F.posexplode("tokens").alias("at", "left_out")).select(
