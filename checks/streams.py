@@ -29,25 +29,33 @@ from sentryspark.streaming.detection import (
     write_stream,
 )
 
-# Files the events are dealt to; a trigger reads one, so there are as many micro-batches.
+# Micro-batches the events are dealt to, and rows of a table for each file of a micro-batch.
 PARTS = 3
+FILE_ROWS = 500_000
 
 
 def sliced(spark, frame: DataFrame, name: str, order: str = "timestamp") -> DataFrame:
     """A stream over ``frame`` in ``PARTS`` micro-batches, each a range of ``order``, unsorted inside.
 
-    Every batch is a folder written in turn, so the file source takes them in that order.
+    Every batch is a folder written in turn, so the file source takes them in that order. All folders
+    have the same number of files, which a trigger reads together.
     """
     prepare_streaming(spark)
     folder = new_folder(spark, name)
-    low, high = frame.agg(F.min(order), F.max(order)).first()
+    low, high, rows = frame.agg(F.min(order), F.max(order), F.count("*")).first()
     width = (high - low) / PARTS
+    files = max(1, rows // FILE_ROWS)
     for part in range(PARTS):
         rows = frame.where(F.col(order) >= F.lit(low + part * width))
         if part < PARTS - 1:
             rows = rows.where(F.col(order) < F.lit(low + (part + 1) * width))
-        rows.orderBy(F.rand(7)).coalesce(1).write.parquet(f"{folder}/part={part}")
-    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1)
+        dealt = rows.withColumn("dealt", F.rand(7)).repartitionByRange(files, "dealt")
+        target = f"{folder}/part={part}"
+        dealt.sortWithinPartitions("dealt").drop("dealt").write.parquet(target)
+        # A range without a row has no file.
+        for _ in range(files - len(spark.read.schema(frame.schema).parquet(target).inputFiles())):
+            frame.limit(0).write.mode("append").parquet(target)
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files)
     return source.parquet(f"{folder}/*")
 
 

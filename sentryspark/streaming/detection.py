@@ -16,7 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -25,6 +25,7 @@ from sentryspark.operators.alerting import NoiseLimits, enrich, suppress
 from sentryspark.operators.rules import (
     KINDS, MATCH_COLUMNS, hit_facts, of_kind, sequence_context, tagged_hits,
 )
+from sentryspark.operators.sliding import HOUR_MS
 from sentryspark.session import scratch, written
 from sentryspark.sources.alert_store import add_alerts, read_alerts
 from sentryspark.sources.batches import Batch, exists, read_table
@@ -43,6 +44,23 @@ FLOW_SCHEMA = f"{MATCH_SCHEMA}, late BOOLEAN"
 RULE_ERRORS = "rule_id STRING, name STRING, error STRING"
 # Parameter: state groups over which the hits of a single-event rule are spread.
 SINGLE_GROUPS = 64
+# Parameters: state groups over which a sequence rule's sessions are spread, and the least length
+# of the time blocks into which the rows of a window rule's key are cut.
+SEQUENCE_GROUPS = 256
+BLOCK_MS = HOUR_MS
+
+# Constants of a rule that its state needs, by kind.
+RULE_FACTS: dict[str, Callable[[Rule], dict]] = {
+    "SingleEvent": lambda rule: {"detail": rule.detail(), "context": "{}"},
+    "Temporal": lambda rule: {
+        "window_ms": rule.window_ms, "threshold": rule.threshold, "is_rate": rule.is_rate,
+        "minutes": rule.window_minutes, "span": span_text(rule.window_ms),
+    },
+    "Sequence": lambda rule: {
+        "n_steps": len(rule.steps), "span_ms": rule.span_ms, "detail": rule.detail(),
+        "context": sequence_context(rule),
+    },
+}
 
 
 @dataclass(frozen=True)
@@ -83,26 +101,46 @@ def stream_rules(
     lateness: Lateness = Lateness(),
 ) -> DataFrame:
     """Matches of all rules as a stream; ``late`` marks hits that came too late to be evaluated."""
-    hits = hit_facts(tagged_hits(with_lateness(events, lateness), rules, members), rules, {
-        "SingleEvent": lambda rule: {"detail": rule.detail(), "context": "{}"},
-        "Temporal": lambda rule: {
-            "window_ms": rule.window_ms, "threshold": rule.threshold, "is_rate": rule.is_rate,
-            "minutes": rule.window_minutes, "span": span_text(rule.window_ms),
-        },
-        "Sequence": lambda rule: {
-            "n_steps": len(rule.steps), "span_ms": rule.span_ms, "detail": rule.detail(),
-            "context": sequence_context(rule),
-        },
-    })
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(SINGLE_GROUPS)).cast("string")
-    keyed = hits.withColumn("key", F.when(F.col("kind") == "SingleEvent", spread).when(
-        F.col("kind") == "Sequence", F.col("session_id")).otherwise(F.col("key")))
-    return keyed.groupBy("rule_id", "key").transformWithState(
-        RuleProgress(lateness.delay_ms, lateness.kept_ms), FLOW_SCHEMA, "Append", "EventTime",
+    known = {(kind, number): RULE_FACTS[kind](rule)
+             for kind in KINDS for number, rule in enumerate(of_kind(rules, kind))}
+    grouped = grouped_hits(with_lateness(events, lateness), rules, members)
+    return grouped.groupBy("rule_id", "key", "block").transformWithState(
+        RuleProgress(lateness.delay_ms, lateness.kept_ms, known), FLOW_SCHEMA, "Append", "EventTime",
         eventTimeColumnName="timestamp",
     )
 
 
+def grouped_hits(
+    events: DataFrame, rules: list[Rule], members: DataFrame | None = None,
+) -> DataFrame:
+    """Hits of all rules with their state group (rule_id, key, block).
+
+    Groups of a window rule are its keys cut into time blocks no shorter than the window, so that a
+    key with most of the rows is no single task. A row whose window reaches into the next block is
+    there a second time, marked as ``prior``.
+    """
+    hits = hit_facts(tagged_hits(events, rules, members), rules, {
+        "SingleEvent": lambda rule: {}, "Sequence": lambda rule: {},
+        "Temporal": lambda rule: {
+            "window_ms": rule.window_ms, "block_ms": max(rule.window_ms, BLOCK_MS)},
+    })
+    kind = F.col("kind")
+    key = F.when(kind == "SingleEvent", group_of("event_id", SINGLE_GROUPS)).when(
+        kind == "Sequence", group_of("session_id", SEQUENCE_GROUPS)).otherwise(F.col("key"))
+    own = F.when(kind == "Temporal", F.floor(F.col("ms") / F.col("block_ms")))
+    reaches = F.col("ms") + F.col("window_ms").cast("double") > (
+        (own.cast("double") + 1) * F.col("block_ms"))
+    blocks = F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))
+    keyed = hits.withColumns({"key": key, "own": own, "blocks": blocks})
+    prior = F.coalesce(F.col("block") > F.col("own"), F.lit(False))
+    return keyed.withColumn("block", F.explode("blocks")).withColumn("prior", prior).drop(
+        "own", "blocks", "window_ms", "block_ms")
+
+
+def group_of(column: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(groups)).cast("string")
+
+
 def stream_dedup(matches: DataFrame, window_ms: int = NoiseLimits.dedup_ms) -> DataFrame:
     """First match per fingerprint and window, as a stream; late ones pass."""
     printed = matches.withColumn(

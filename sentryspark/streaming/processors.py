@@ -50,21 +50,26 @@ class ExpiringProcessor(StatefulProcessor):
 
 
 class RuleProgress(ExpiringProcessor):
-    """State of one (rule, key) of any kind; emits the rows that fire and, aside, those too late.
+    """State of one group of a rule's hits; emits the rows that fire and, aside, those too late.
 
     Rows are evaluated while they are at most ``delay_ms`` behind the highest event time of the
     batches before. The stream's watermark lags by ``kept_ms``, so rows between the two limits still get
-    here and are passed on marked as late; state is left alone by them. A window rule's state is
-    one (ms, count) pair per distinct millisecond of its window, a sequence rule's its step and expiry; a
+    here and are passed on marked as late; state is left alone by them. ``facts`` holds the constants
+    of every rule by its kind and position.
+
+    A window rule's group is one key and time block; rows marked ``prior`` belong to the block before and
+    are counted there only. Its state is one (ms, count) pair per distinct millisecond of a window. A sequence
+    rule's group holds many sessions, its state the step and expiry of each unfinished one. A
     single-event rule has none.
     """
 
-    def __init__(self, delay_ms: int, kept_ms: int):
-        self.delay_ms, self.kept_ms = delay_ms, kept_ms
+    def __init__(self, delay_ms: int, kept_ms: int, facts: dict[tuple[str, int], dict]):
+        self.delay_ms, self.kept_ms, self.facts = delay_ms, kept_ms, facts
 
     def open_state(self, handle):
         self.moments = handle.getListState("moments", "ms BIGINT, n INT")
-        self.progress = handle.getValueState("progress", "step INT, expiry BIGINT")
+        self.progress = handle.getListState(
+            "progress", "session_id STRING, step INT, expiry BIGINT")
 
     def clear_state(self):
         self.moments.clear()
@@ -73,56 +78,77 @@ class RuleProgress(ExpiringProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         since = watermark + self.kept_ms - self.delay_ms if watermark > 0 else None
-        in_time = []
-        for row in in_order(rows):
+        in_time, prior, kind, facts = [], Counter(), None, {}
+        for row in rows:
             if since is not None and row["ms"] < since:
-                yield matched(row, row["detail"], row["context"], late=True)
+                if not row["prior"]:
+                    known = self.facts[row["kind"], row["rule"]]
+                    yield matched(row, known.get("detail"), known.get("context"), late=True)
+                continue
+            if kind is None:
+                kind = row["kind"]
+                facts = self.facts[kind, row["rule"]]
+            if row["prior"]:
+                prior[row["ms"]] += 1
             else:
                 in_time.append(row)
-        if in_time:
-            run = {"Temporal": self.count, "Sequence": self.advance}.get(in_time[0]["kind"], self.fire)
-            yield from run(in_time, since)
+        if kind is None:
+            return
+        in_time = in_order(in_time)
+        if kind == "Temporal":
+            yield from self.count(in_time, prior, since, facts)
+        else:
+            yield from (self.advance if kind == "Sequence" else self.fire)(in_time, since, facts)
 
-    def fire(self, rows, since) -> Iterator[Row]:
+    def fire(self, rows, since, facts) -> Iterator[Row]:
         for row in rows:
-            yield matched(row, row["detail"], row["context"])
+            yield matched(row, facts["detail"], facts["context"])
 
-    def count(self, rows, since) -> Iterator[Row]:
+    def count(self, rows, prior, since, facts) -> Iterator[Row]:
         held = sorted((m, n) for m, n in self.moments.get())
-        added = Counter(row["ms"] for row in rows)
-        merged = Counter(dict(held)) + added
+        merged = Counter(dict(held)) + Counter(row["ms"] for row in rows) + prior
         moments = sorted(merged)
         totals = dict(zip(moments, accumulate(merged[m] for m in moments)))
         # Rows of a millisecond count one after the other, after those held before the batch.
         seen = Counter(dict(held))
-        window = rows[0]["window_ms"]
+        window, minutes, span = facts["window_ms"], facts["minutes"], facts["span"]
+        is_rate, threshold = facts["is_rate"], facts["threshold"]
         for row in rows:
             now = row["ms"]
             seen[now] += 1
             out = bisect_right(moments, now - window)
             count = totals[now] - merged[now] + seen[now] - (totals[moments[out - 1]] if out else 0)
-            measure = rate(count, row["minutes"]) if row["is_rate"] else float(count)
-            if measure >= row["threshold"]:
-                yield matched(row, f"{count} events in {row['span']}", '{"window_count":%d}' % count)
+            measure = rate(count, minutes) if is_rate else float(count)
+            if measure >= threshold:
+                yield matched(row, f"{count} events in {span}", '{"window_count":%d}' % count)
         # Rows may still arrive back to the limit; without one, back to the allowed delay.
         oldest = (moments[-1] - self.delay_ms if since is None else since) - window
         self.moments.put([(m, merged[m]) for m in moments[bisect_right(moments, oldest):]])
         self.keep_until(moments[-1] + window)
 
-    def advance(self, rows, since) -> Iterator[Row]:
-        step, expiry = self.progress.get() if self.progress.exists() else (0, 0)
+    def advance(self, rows, since, facts) -> Iterator[Row]:
+        n_steps, span = facts["n_steps"], facts["span_ms"]
+        held = {session: (step, expiry) for session, step, expiry in self.progress.get()}
         for row in rows:
-            if step and row["ms"] >= expiry:
+            session, now = row["session_id"], row["ms"]
+            step, expiry = held.get(session, (0, 0))
+            if step and now >= expiry:
                 step = 0
-            if step not in row["steps"]:
-                continue
-            step, expiry = step + 1, row["ms"] + row["span_ms"]
-            if step == row["n_steps"]:
-                step = 0
-                yield matched(row, row["detail"], row["context"])
-        if step:
-            self.progress.update((step, expiry))
-            self.keep_until(expiry)
+            if step in row["steps"]:
+                step, expiry = step + 1, now + span
+                if step == n_steps:
+                    step = 0
+                    yield matched(row, facts["detail"], facts["context"])
+            if step:
+                held[session] = (step, expiry)
+            else:
+                held.pop(session, None)
+        # No row before the limit comes any more, so what expires before it has ended.
+        left = [(session, step, expiry) for session, (step, expiry) in held.items()
+                if since is None or expiry > since]
+        if left:
+            self.progress.put(left)
+            self.keep_until(max(expiry for _, _, expiry in left))
         else:
             self.progress.clear()
 
@@ -141,10 +167,21 @@ class Dedup(ExpiringProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = self.accepted.get()[0] if self.accepted.exists() else None
-        for row in in_order(rows):
+        first: dict[int, Row] = {}
+        in_time = []
+        for row in rows:
+            now = row["ms"]
             if row["late"]:
                 yield row
-            elif last is None or row["ms"] >= last + self.window_ms:
+            elif self.window_ms <= 0:
+                in_time.append(row)
+            # Of a millisecond's rows only the first can pass, and none within the window held.
+            elif last is None or now >= last + self.window_ms:
+                other = first.get(now)
+                if other is None or row["event_id"] < other["event_id"]:
+                    first[now] = row
+        for row in in_order([*in_time, *first.values()]):
+            if last is None or row["ms"] >= last + self.window_ms:
                 last = row["ms"]
                 yield row
         if last is not None:

@@ -23,7 +23,7 @@ from sentryspark.sources.raw import records_from_text
 from sentryspark.sources.rollup_store import merged
 from sentryspark.sources.session_store import read_marked_sessions, read_sessions
 from sentryspark.streaming.detection import (
-    MATCH_SCHEMA, RULE_ERRORS, Folders, Lateness, alert_batch, ingest_batch, keep_running,
+    MATCH_SCHEMA, RULE_ERRORS, Folders, Lateness, alert_batch, grouped_hits, ingest_batch, keep_running,
     read_late, read_matches, start_alerts, start_detection, start_flow, stream_rules, write_matches,
     write_stream,
 )
@@ -253,3 +253,30 @@ def test_late_rows_are_kept_aside(spark, make_events, catalog, tmp_path):
     assert {r.event_id for r in read_late(spark, folders.root).collect()} == {"e0002", "e0003"}
     assert {r.event_id for r in read_matches(spark, folders.root).collect()} == {"e0000", "e0001", "e0004"}
     assert read_alerts(spark, folders.root).count() == 3
+
+
+def test_a_hot_key_is_cut_into_time_blocks_with_equal_counts(spark, make_events, tmp_path):
+    hour = 3600
+    rows = [{"at": 300 * i, "event_type": "a", "session_id": f"s{i % 7}"} for i in range(10 * 12)]
+    events = make_events(*rows)
+    catalog = spark.createDataFrame([
+        rule("long", "Temporal", window(2 * hour, 20), condition={**TOOL, "value": "a"}),
+        rule("short", "Temporal", window(900, 3), condition={**TOOL, "value": "a"}),
+        rule("chain", "Sequence", steps=["a", "a", "a"], span=3 * hour)], RULES)
+    rules, _ = load_rules(catalog)
+    groups = grouped_hits(events, rules).groupBy("rule_id", "key", "block").agg(
+        F.count_if(~F.col("prior")).alias("own"), F.count_if("prior").alias("prior")).collect()
+    most = {name: max(r.own for r in groups if r.rule_id == name) for name in ("long", "short")}
+    assert most == {"long": 24, "short": 12}
+    assert {r.prior for r in groups if r.rule_id == "short"} <= {0, 2}
+    assert sum(r.own for r in groups if r.rule_id == "long") == len(rows)
+    as_files(events, f"{tmp_path}/in", lambda f, p: f.write.parquet(p))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    folders = Folders(f"{tmp_path}/out")
+    write_stream(
+        stream_rules(stream.parquet(f"{tmp_path}/in"), rules), "rules", folders,
+        lambda frame, batch_id: write_matches(frame.where("NOT late"), "rules", batch_id, folders.root),
+        True).awaitTermination()
+    wanted = evaluate(events, rules)
+    assert {r.rule_id for r in wanted.collect()} == {"long", "short", "chain"}
+    assert same_rows(read_matches(spark, folders.root).select(*MATCH_COLUMNS), wanted)
