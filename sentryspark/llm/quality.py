@@ -15,6 +15,7 @@ ignored by ``classify`` and kept by ``keep_good``, whatever their names.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,15 +82,32 @@ def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, counts / counts.sum()
 
 
+def stored_features(rows: list[tuple[str, int]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, shares, label) of each text; the arrays are parts of a mapped temporary file.
+
+    They are several times as large as the texts, and are read once per epoch.
+    """
+    sizes, labels = [], []
+    with tempfile.TemporaryFile() as held:
+        for text, label in rows:
+            buckets, shares = text_features((text or "").encode().split())
+            held.write(buckets.astype(np.int32).tobytes())
+            held.write(shares.astype(np.float32).tobytes())
+            sizes.append(len(buckets))
+            labels.append(label)
+        held.flush()
+        values = np.memmap(held, np.int32, "r") if sum(sizes) else np.zeros(0, np.int32)
+    ends = 2 * np.cumsum(sizes, dtype=np.int64)
+    return [(values[end - 2 * size:end - size], values[end - size:end].view(np.float32), label)
+            for end, size, label in zip(ends, sizes, labels)]
+
+
 def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, float]:
     """(number per bucket, bias): log-odds of label 1 are the mean of the numbers plus the bias."""
     generator = np.random.default_rng(seed)
     vectors = generator.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, 2)), np.zeros(2)
-    samples = []
-    for text, label in rows:
-        buckets, shares = text_features((text or "").encode().split())
-        samples.append((buckets.astype(np.int32), shares.astype(np.float32), label))
+    samples = stored_features(rows)
     steps, step = EPOCHS * len(samples), 0
     for _ in range(EPOCHS):
         for number in generator.permutation(len(samples)):

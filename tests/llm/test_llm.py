@@ -348,3 +348,17 @@ def test_mined_rules_decide(spark):
 
 def test_queries_are_registered():
     assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
+
+
+def test_quality_training_features_are_not_held_in_memory():
+    from sentryspark.llm.quality import stored_features, text_features
+
+    rows = [("some words of a text, some more", 1), ("", 0), (None, 1), ("other words", 0)]
+    for (text, label), (buckets, shares, stored_label) in zip(rows, stored_features(rows), strict=True):
+        wanted = text_features((text or "").encode().split())
+        assert buckets.tolist() == wanted[0].tolist() and stored_label == label
+        assert shares.tolist() == wanted[1].astype(np.float32).tolist()
+        assert not text or (isinstance(buckets, np.memmap) and isinstance(shares, np.memmap))
+    assert stored_features([]) == []
+    (empty, _, _), = stored_features([("", 1)])
+    assert not len(empty)
