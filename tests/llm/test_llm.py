@@ -312,6 +312,33 @@ def test_base_scores_and_probabilities(spark):
     assert sum(row.p for row in words.collect()) + model["unknown"] == pytest.approx(1.0)
 
 
+def test_spelling_seats_all_cells_at_any_size(spark, monkeypatch):
+    """Which cells are broadcast and which are joined, and how many a task takes, decides nothing."""
+    words = [f"{a}{b}{c}" for a in ("re", "th", "on") for b in ("in", "er", "o", "é") for c in ("ly", "s", "")]
+    frame = docs_of(spark, " ".join(words))
+    found = {row.word: row.p for row in pitman_yor.fit(frame)[0].collect()}
+    assert len(found) == len(set(words)) + 1
+    monkeypatch.setattr(pitman_yor, "SPELL_SHARE", 16)
+    joined = {row.word: row.p for row in pitman_yor.fit(frame)[0].collect()}
+    assert joined == pytest.approx(found, rel=1e-9)
+
+
+def test_groups_of_restaurants_are_seated_whole(spark, monkeypatch):
+    words = spark.createDataFrame([(b"abracadabra", 3), (b"cadabra", 2), (b"bracket", 1)],
+                                  "word binary, t long")
+    cells = pitman_yor.spelling_counts(words)
+    monkeypatch.setattr(pitman_yor, "SEATED_CELLS", 1)
+    monkeypatch.setattr(pitman_yor, "SPELL_SHARE", 1)
+    (grams, logs), rare = pitman_yor.seat_spelling(cells.coalesce(1), 0)
+    chances = {**dict(zip(grams.tolist(), np.exp(logs))), **{r.gram: np.exp(r.log) for r in rare.collect()}}
+    counted = {row.gram: row.level for row in cells.collect()}
+    assert set(chances) == {gram for gram, level in counted.items() if level > 1}
+    totals = Counter()
+    for gram, chance in chances.items():
+        totals[counted[gram], gram >> 9] += chance
+    assert all(0 < total < 1 for total in totals.values())
+
+
 def test_tables_follow_their_distribution():
     generator = np.random.default_rng(1)
     customers = np.full(4000, 40)
