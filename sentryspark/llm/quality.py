@@ -35,6 +35,9 @@ TRAIN_CHARACTERS = 8_000_000
 BUCKETS, WIDTH = 1 << 18, 8
 NGRAMS = (3, 4, 5)
 EPOCHS, RATE = 6, 0.6
+# Parameters of a scoring worker's memory: texts taken out of a batch at once, characters scored at once,
+# new words whose features are held at once, words kept.
+SCORED_TEXTS, SCORED_CHARACTERS, NEW_WORDS, WORDS_KEPT = 500, 1_000_000, 20_000, 250_000
 _BUCKET_BITS = np.uint64(64 - 18)
 _EQUAL = np.uint64(7)
 
@@ -152,18 +155,23 @@ def scorer(model: tuple[np.ndarray, float]):
 
     def compute(words: list[bytes]) -> np.ndarray:
         rows = np.zeros(len(words), dtype=[("sum", "f8"), ("count", "f8"), ("hash", "u8")])
-        if words:
-            owners, found, rows["hash"] = word_features(words)
-            rows["sum"] = np.bincount(owners, numbers[found], len(words))
-            rows["count"] = np.bincount(owners, minlength=len(words))
+        for low in range(0, len(words), NEW_WORDS):
+            part, own = words[low:low + NEW_WORDS], rows[low:low + NEW_WORDS]
+            owners, found, own["hash"] = word_features(part)
+            own["sum"] = np.bincount(owners, numbers[found], len(part))
+            own["count"] = np.bincount(owners, minlength=len(part))
         return rows
 
-    known = WordRows(compute)
+    known = WordRows(compute, WORDS_KEPT)
 
-    def score(texts: list[str | None]) -> np.ndarray:
+    def score(column: pa.Array) -> np.ndarray:
+        parts = [column.slice(low, SCORED_TEXTS) for low in range(0, len(column), SCORED_TEXTS)]
+        return np.concatenate([score_part(part.to_pylist()) for part in parts])
+
+    def score_part(texts: list[str | None]) -> np.ndarray:
         texts = [text or "" for text in texts]
         scores = [np.zeros(0)]
-        for low, high in slices(texts):
+        for low, high in slices(texts, SCORED_CHARACTERS):
             split = [text.encode().split() for text in texts[low:high]]
             sizes = [len(words) for words in split]
             flat = [word for words in split for word in words]
@@ -194,7 +202,7 @@ def score_texts(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFr
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(score(batch.column(1).to_pylist()))],
+                [batch.column(0).cast(pa.int64()), pa.array(score(batch.column(1)))],
                 ["doc_id", "score"])
 
         return step
@@ -214,7 +222,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -
         for batch in batches:
             if batch.num_rows:
                 rows = pa.RecordBatch.from_arrays(batch.columns, names)
-                yield rows.filter(pa.array(score(batch.column(text).to_pylist()) >= 0.5))
+                yield rows.filter(pa.array(score(batch.column(text)) >= 0.5))
 
     # Columns go by their places, as a name may hold a point.
     placed = documents.toDF(*[f"column_{place}" for place in range(len(names))])

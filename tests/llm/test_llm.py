@@ -292,6 +292,22 @@ def test_kneser_ney_is_a_distribution(context):
     assert sum(chance(context + c) for c in letters) + chance(context) + rest == pytest.approx(1, abs=1e-4)
 
 
+def test_scoring_holds_few_features_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"{number * 2654435761 % 10**10:010d}" for number in range(150_000)]
+    column = pa.array([" ".join(words[low:low + 300]) for low in range(0, len(words), 300)] + [None, ""])
+    score = quality.scorer((np.ones(quality.BUCKETS, dtype=np.float32), 0.0))
+    tracemalloc.start()
+    scores = score(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == len(column) and scores[-1] == 0.5 and scores[0] == pytest.approx(1 / (1 + np.exp(-1)))
+    assert peak < 140 << 20
+
+
 def test_base_scores_and_probabilities(spark):
     texts = [PROSE, "a a a b", "zebra " * 3, "", "The CAT", "new words here"]
     frame = docs_of(spark, *texts)
