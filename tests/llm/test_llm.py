@@ -355,6 +355,44 @@ def test_groups_of_restaurants_are_seated_whole(spark, monkeypatch):
     assert all(0 < total < 1 for total in totals.values())
 
 
+def test_unknown_words_are_spelled(spark):
+    train = docs_of(spark, PROSE, "there they then the other", "hither thither", "")
+    words, model = pitman_yor.fit(train)
+    texts = ["the other", "thethere", "qx\u00e9zk", "the qx\u00e9zk other thethere qx\u00e9zk", "z" * 20_000, ""]
+    rows = pitman_yor.score(docs_of(spark, *texts), words, model, common.remainder("doc_id", 10) == 0)
+    found = {row.doc_id: row for row in rows.collect()}
+    extra = {i: row.score - row.closed_score for i, row in found.items()}
+    assert len(found) == len(texts) and extra[0] == pytest.approx(0) == extra[5]
+    assert [row.n_known for _, row in sorted(found.items())] == [3, 1, 1, 3, 1, 1]
+    assert extra[2] < extra[1] < 0 and found[1].closed_score == pytest.approx(found[2].closed_score)
+    assert extra[3] == pytest.approx(extra[1] + 2 * extra[2])
+    assert np.isfinite(extra[4]) and extra[4] < -5_000
+
+
+def test_unseen_symbols_are_left_to_shorter_contexts(spark):
+    """After contexts with and without restaurants all outcomes add up to 1, and cells stay as they are."""
+    words = spark.createDataFrame([(b"abracadabra", 3), (b"cadabra", 2), (b"bracket", 1)],
+                                  "word binary, t long")
+    upper, seated, limit = pitman_yor.seat_orders(pitman_yor.spelling_counts(words), 0)
+    (grams, logs), rare = pitman_yor.cell_logs(upper, seated, limit)
+    cells = {**dict(zip(grams.tolist(), logs)), **{row.gram: row.log for row in rare.collect()}}
+    start, end = pitman_yor.START_SYMBOL, pitman_yor.END_SYMBOL
+    keys = {}
+    for context in ([start], [start, *b"b"], [start, *b"zq"], b"dabr", b"zabr", b"xxbr", b"qqqq"):
+        packed = 0
+        for symbol in context:
+            packed = packed << 9 | (symbol if symbol == start else symbol + 1)
+        keys.update({packed << 9 | symbol: packed for symbol in range(1, end + 1)})
+    frame = spark.createDataFrame([(key,) for key in keys], "key long")
+    found = {row.key: row.log for row in pitman_yor.gram_logs(frame, upper, seated).collect()}
+    totals = Counter()
+    for key, packed in keys.items():
+        totals[packed] += np.exp(found[key])
+    assert len(totals) == 7 and all(total == pytest.approx(1.0) for total in totals.values())
+    common_keys = set(cells) & set(found)
+    assert common_keys and all(found[key] == pytest.approx(cells[key]) for key in common_keys)
+
+
 def test_tables_follow_their_distribution():
     generator = np.random.default_rng(1)
     customers = np.full(4000, 40)
