@@ -384,7 +384,7 @@ def test_unseen_symbols_are_left_to_shorter_contexts(spark):
             packed = packed << 9 | (symbol if symbol == start else symbol + 1)
         keys.update({packed << 9 | symbol: packed for symbol in range(1, end + 1)})
     frame = spark.createDataFrame([(key,) for key in keys], "key long")
-    found = {row.key: row.log for row in pitman_yor.gram_logs(frame, upper, seated).collect()}
+    found = {row.key: row.log_0 for row in pitman_yor.gram_logs(frame, [(upper, seated, 1.0)]).collect()}
     totals = Counter()
     for key, packed in keys.items():
         totals[packed] += np.exp(found[key])
